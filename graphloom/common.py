@@ -58,16 +58,21 @@ def cut_counted(df: DataFrame, label: str = "cut") -> tuple[DataFrame, int]:
     spark, path, seen = df.sparkSession, scratch_path(df.sparkSession, label), Observation()
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
     return out, int(seen.get["n"])
 
 
+def stack(cuts: list[DataFrame]) -> DataFrame:
+    """The union of tables made by ``cut`` with one schema, as one scan."""
+    spark = cuts[0].sparkSession
+    return spark.read.schema(cuts[0].schema).parquet(*[c._cut_path for c in cuts])
+
+
 def drop_cut(*dfs: DataFrame) -> None:
     """Delete scratch tables that nothing reads any more."""
     for df in dfs:
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/graphloom-" in path:
-                p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def purge(spark: SparkSession) -> None:
@@ -78,12 +83,8 @@ def purge(spark: SparkSession) -> None:
 
 def written_bytes(df: DataFrame) -> int:
     """Bytes of the files behind a table made by ``cut``."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    total = 0
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        total += p.getFileSystem(conf).getContentSummary(p).getLength()
-    return total
+    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+    return p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
 
 
 def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:

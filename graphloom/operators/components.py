@@ -32,7 +32,7 @@ def star_components(edges: DataFrame) -> DataFrame:
         new, k = cut_counted(small.where("u <> v").distinct(), "star")
         changed = k != n or bool(new.join(cur, ["u", "v"], "left_anti").head(1))
         drop_cut(cur)
-        cur = new
+        cur, n = new, k
         if not changed:
             break
     return nodes.join(cur.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -10,17 +10,13 @@ cannot be peeled contains cycles; only that residue is searched for strongly con
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..common import cut, cut_counted, drop_cut
+from ..common import cut, cut_counted, stack
 from .ids import number_names
 
-_NONE = "cast(null as bigint)"
-
 
 @dataclass
 class Hierarchy:
@@ -120,7 +116,7 @@ def _components_of_cycles(core: DataFrame) -> DataFrame:
             if n == before:
                 break
         if not edges.head(1):
-            return reduce(DataFrame.unionByName, found) if found else core.sparkSession.createDataFrame([], "v bigint, scc bigint")
+            return stack(found) if found else core.sparkSession.createDataFrame([], "v bigint, scc bigint")
         colour = cut(edges.select(F.col("p").alias("v")).distinct().withColumn("k", F.col("v")), "colour")
         while True:
             sent = edges.join(colour, F.col("p") == F.col("v")).groupBy("c").agg(F.min("k").alias("s"))
@@ -177,14 +173,14 @@ def hierarchy(nodes: DataFrame, links: DataFrame) -> Hierarchy:
     start = ids.join(has_parent, "id", "left_anti").select(
         F.col("id").alias("v"), F.col("id").alias("root"), F.lit(0).cast("bigint").alias("d"), F.array("id").alias("path"))
     start = cut(start, "roots")
-    known = [_core_roots(edges, start) if edges.head(1) else start]
-    comps = [_components_of_cycles(edges)]
+    known = [_core_roots(edges, start)] if edges.head(1) else [start]
+    comps = [cut(_components_of_cycles(edges), "sccs")]
     for at, gone in reversed(rounds):
-        dist = reduce(DataFrame.unionByName, known)
+        dist = stack(known)
         into = at.join(gone.where("up is null").select(F.col("v").alias("c")), "c", "left_semi").select("p", "c", "w", "seg")
         into = into.unionByName(gone.where("up is not null").select(F.col("up.p").alias("p"), F.col("v").alias("c"), F.col("up.w").alias("w"), F.col("up.seg").alias("seg")))
         known.append(cut(_shortest(_relax(dist, into)), "roots"))
-        scc = reduce(DataFrame.unionByName, comps)
+        scc = stack(comps)
         lines = gone.where("up is not null").select("v", F.col("up.p").alias("p"), F.col("down.c").alias("c"))
         lines = lines.join(scc.select(F.col("v").alias("p"), F.col("scc").alias("sp")), "p", "left")
         lines = lines.join(scc.select(F.col("v").alias("c"), F.col("scc").alias("sc")), "c", "left")
@@ -195,8 +191,8 @@ def hierarchy(nodes: DataFrame, links: DataFrame) -> Hierarchy:
         if n:
             comps.append(rows)
 
-    dist = reduce(DataFrame.unionByName, known)
-    cyc = own_parent.unionByName(reduce(DataFrame.unionByName, comps).select("v")).distinct().withColumn("on_cycle", F.lit(True))
+    dist = stack(known)
+    cyc = own_parent.unionByName(stack(comps).select("v")).distinct().withColumn("on_cycle", F.lit(True))
     rooted = dist.select("v").distinct().withColumn("rooted", F.lit(True))
     trapped = ids.withColumnRenamed("id", "v").join(cyc, "v", "left").join(rooted, "v", "left")
     trapped = trapped.where("on_cycle or rooted is null").select("node", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"), F.col("rooted").isNull().alias("unrooted"))

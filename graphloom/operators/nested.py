@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..common import scratch_path
+from ..ddl import schema
 
 EMITTED = "tag string, record_id string, pk string, parent_pk string, path array<int>, payload string"
 
@@ -114,8 +115,8 @@ def read_tag(spark: SparkSession, path: str, tag: str, columns: dict[str, str],
     ``columns`` gives the Spark type of each field; a value that does not fit its type is null. A decimal
     comma in a number is read as a point. Each key comes once, however often its record was delivered.
     """
-    schema = T.StructType.fromDDL("record_id string, pk string, parent_pk string, path array<int>, payload string, tag string")
-    rows = spark.read.schema(schema).parquet(path).where(F.col("tag") == tag)
+    layout = schema("record_id string, pk string, parent_pk string, path array<int>, payload string, tag string")
+    rows = spark.read.schema(layout).parquet(path).where(F.col("tag") == tag)
     if not payload:
         return rows.select("record_id", "pk", "parent_pk", "path").dropDuplicates(["pk"])
     fields = F.from_json("payload", T.StructType([T.StructField(c, T.StringType()) for c in columns]))

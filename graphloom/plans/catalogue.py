@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import dealt
+from . import dealt, kb_queries, text_queries
 
-_PARTS = (dealt,)
+_PARTS = (dealt, kb_queries, text_queries)
 
 
 def queries() -> dict:
