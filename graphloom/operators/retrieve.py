@@ -129,19 +129,27 @@ def resolve(entities: DataFrame, names: DataFrame, decisions: DataFrame | None =
 
 # ------------------------------------------------------------------ context
 
-def applicable(t: DataFrame, entities: DataFrame) -> DataFrame:
+def twins_of(t: DataFrame, entities: DataFrame) -> DataFrame:
+    """``(uri, twin)``: each entity with itself and all that is the same as it."""
+    same = cut(same_as_sets(t), "same-as")
+    e = entities.select("uri").distinct()
+    group = e.join(same.select(F.col("node").alias("uri"), "component"), "uri")
+    more = group.join(same.select(F.col("node").alias("twin"), "component"), "component").select("uri", "twin")
+    return cut(more.unionByName(e.select("uri", F.col("uri").alias("twin"))).distinct(), "twins")
+
+
+def applicable(t: DataFrame, entities: DataFrame, twins: DataFrame | None = None, sup: DataFrame | None = None, dt: DataFrame | None = None) -> DataFrame:
     """``(uri, type, direction, property, other, other_kind, dtype)``: statements about each entity and those the
     same as it, under every direct type that lies at or below a domain of the property.
 
-    A property without a domain applies to no type. ``direction`` is out_object, out_data or in_object.
+    A property without a domain applies to no type. ``direction`` is out_object, out_data or in_object. Twins,
+    class closure and direct types are computed unless they are at hand.
     """
-    same = cut(same_as_sets(t), "same-as")
     e = entities.select("uri").distinct()
-    group = e.join(same.select(F.col("node").alias("uri"), "component"), "uri", "left")
-    alias = group.join(same.select(F.col("node").alias("twin"), "component"), "component").select("uri", "twin").unionByName(e.select("uri", F.col("uri").alias("twin"))).distinct()
-    alias = cut(alias, "twins")
-    dt = direct_types(t).join(e, F.col("s") == F.col("uri")).select("uri", F.col("o").alias("type"))
-    sup = subclass_closure(t).select(F.col("src").alias("type"), F.col("dst").alias("dom"))
+    alias = twins_of(t, e) if twins is None else twins
+    sup = cut(subclass_closure(t), "closure") if sup is None else sup
+    dt = direct_types(t, above=sup).join(e, F.col("s") == F.col("uri")).select("uri", F.col("o").alias("type")) if dt is None else dt
+    sup = sup.select(F.col("src").alias("type"), F.col("dst").alias("dom"))
     dom = t.where(F.col("p") == DOMAIN).select(F.col("s").alias("property"), F.col("o").alias("dom")).distinct()
     own = dt.select("type").distinct()
     fits = own.join(sup, "type").unionByName(own.select("type", F.col("type").alias("dom"))).distinct().join(dom, "dom").select("type", "property").distinct()
@@ -157,14 +165,12 @@ def context(t: DataFrame, entities: DataFrame, scope: str = "entity") -> DataFra
     object properties.
     """
     e = entities.select("uri").distinct()
-    same = cut(same_as_sets(t), "same-as")
-    g = e.join(same.select(F.col("node").alias("uri"), "component"), "uri", "left")
-    twins = cut(g.join(same.select(F.col("node").alias("twin"), "component"), "component").select("uri", "twin").unionByName(e.select("uri", F.col("uri").alias("twin"))).distinct(), "twins")
+    twins = twins_of(t, e)
     about = cut(twins.join(t, F.col("twin") == F.col("s")).select("uri", "twin", "p", "o", "o_kind", "o_dtype"), "about")
     name = readable(F.col("o"))
-    dt = direct_types(t).join(e, F.col("s") == F.col("uri")).select("uri", F.col("o").alias("type"))
+    sup = cut(subclass_closure(t), "closure")
+    dt = cut(direct_types(t, above=sup).join(e, F.col("s") == F.col("uri")).select("uri", F.col("o").alias("type")), "direct-types")
     types = dt.groupBy("uri").agg(F.array_sort(F.collect_set(readable(F.col("type")))).alias("types"))
-    sup = subclass_closure(t)
     above = dt.join(sup, F.col("type") == F.col("src")).groupBy("uri", readable(F.col("type")).alias("k")).agg(F.array_sort(F.collect_set(readable(F.col("dst")))).alias("v"))
     is_class = t.where((F.col("p") == RDF_TYPE) & (F.col("o") == CLASS)).select(F.col("s").alias("uri")).distinct()
     direct = t.where(F.col("p") == SUBCLASS).join(e.join(is_class, "uri", "left_semi"), F.col("s") == F.col("uri")).groupBy("uri", readable(F.col("uri")).alias("k")).agg(F.array_sort(F.collect_set(name)).alias("v"))
@@ -182,7 +188,7 @@ def context(t: DataFrame, entities: DataFrame, scope: str = "entity") -> DataFra
     none = F.array().cast("array<string>")
     pd_ = about.select("uri", "p").distinct().join(obj, "p", "left_semi").join(com.select(F.col("x").alias("p"), "c"), "p", "left").join(ends(DOMAIN, "dom"), "p", "left").join(ends(RANGE, "rng"), "p", "left")
     pd_ = pd_.groupBy("uri").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct(readable(F.col("p")).alias("k"), F.struct(F.col("c").alias("description"), F.coalesce("dom", none).alias("domain"), F.coalesce("rng", none).alias("range")).alias("v"))))).alias("object_property_descriptions"))
-    app = applicable(t, e)
+    app = applicable(t, e, twins, sup, dt)
     side = lambda d, other: F.array_sort(F.collect_set(F.when(F.col("direction") == d, F.struct(readable(F.col("property")).alias("property"), other))))
     props = app.groupBy("uri", readable(F.col("type")).alias("k")).agg(F.struct(
         side("out_object", readable(F.col("other")).alias("object")).alias("outgoing_object_properties"),

@@ -312,17 +312,17 @@ def subclass_closure(t: DataFrame) -> DataFrame:
     return closure(t.where((F.col("p") == SUBCLASS) & (F.col("o_kind") == "iri")).select(F.col("s").alias("src"), F.col("o").alias("dst")))
 
 
-def direct_types(t: DataFrame, compat: bool = False) -> DataFrame:
+def direct_types(t: DataFrame, compat: bool = False, above: DataFrame | None = None) -> DataFrame:
     """``(s, o)``: the most specific types of each node. A type goes if another type of the node lies
     strictly below it. Types of one cycle are as specific as each other; with ``compat`` they remove
-    each other."""
+    each other. ``above`` is the closure of the class graph if it is at hand."""
     types = t.where((F.col("p") == RDF_TYPE) & (F.col("o_kind") == "iri")).select("s", "o").distinct()
-    c = cut(subclass_closure(t).where("src <> dst").select("src", "dst"), "closure")
+    c = cut((subclass_closure(t) if above is None else above).where("src <> dst").select("src", "dst"), "closure")
     if not compat:
         c = c.join(c.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_anti")
     lower = types.select("s", F.col("o").alias("src"))
-    above = lower.join(c, "src").select("s", F.col("dst").alias("o")).distinct()
-    return types.join(above, ["s", "o"], "left_anti")
+    higher = lower.join(c, "src").select("s", F.col("dst").alias("o")).distinct()
+    return types.join(higher, ["s", "o"], "left_anti")
 
 
 def same_as_sets(t: DataFrame) -> DataFrame:

@@ -349,7 +349,7 @@ def name_clusters(spark, d):
 
 
 def vector_clusters_q(spark, d):
-    return vector_clusters(table(spark, d, "embeddings"), "vec_id", "embedding", 0.3)
+    return vector_clusters(table(spark, d, "embeddings"), "vec_id", "embedding", 0.6)
 
 
 def rag_topk(spark, d):

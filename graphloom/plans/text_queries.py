@@ -343,14 +343,14 @@ def oracle_sql() -> dict[str, str]:
   UNION ALL SELECT 'resolvable', unnest([['canonical', 'paraphrased', 'typo'][n % 4], 'overall']), 'resolution_success', types IS NOT NULL FROM lx WHERE n % 4 > 0
   UNION ALL SELECT 'resolvable', unnest([['canonical', 'paraphrased', 'typo'][n % 4], 'overall']), 'correct_resolved_entity', coalesce(len(types) = 1, FALSE) FROM lx WHERE n % 4 > 0)
  SELECT side, tier, ck "check", sum(p::INT)::BIGINT passed, count(*) total, {pct.format('sum(p::INT)', 'count(*)')} pct FROM k GROUP BY side, tier, ck""",
-        "eval_grounding": _L + f""", a AS (SELECT qt category, n % 3 <> 2 answerable, n % 2 = 0 qtp, n % 3 = 0 oe, n % 5 < 3 oo, n % 7 = 0 pf, n % 4 = 1 ab, types IS NOT NULL er, n % 11 <> 0 ob, n % 2 = 1 es, n % 3 = 1 os, qt = 'comparative' cm FROM lx),
- b AS (SELECT *, NOT answerable AND ab abst, er AND NOT (NOT answerable AND ab) AND (NOT cm OR ob) mapped, CASE WHEN answerable AND cm THEN es AND oe AND os AND oo WHEN answerable THEN es AND oe WHEN cm THEN es AND os ELSE es END wi FROM a),
- f AS (SELECT category, answerable, qtp correct_question_type, FALSE correct_answer_form, FALSE correct_entity, FALSE correct_relation, FALSE correct_object, abst correctly_abstained, er entity_resolved_n, oe AND (er OR NOT answerable) correct_entity_resolution,
+        "eval_grounding": _L + f""", ga AS (SELECT qt category, n % 3 <> 2 answerable, n % 2 = 0 qtp, n % 3 = 0 oe, n % 5 < 3 oo, n % 7 = 0 pf, n % 4 = 1 ab, types IS NOT NULL er, n % 11 <> 0 ob, n % 2 = 1 es, n % 3 = 1 os, qt = 'comparative' cm FROM lx),
+ gb AS (SELECT *, NOT answerable AND ab abst, er AND NOT (NOT answerable AND ab) AND (NOT cm OR ob) mapped, CASE WHEN answerable AND cm THEN es AND oe AND os AND oo WHEN answerable THEN es AND oe WHEN cm THEN es AND os ELSE es END wi FROM ga),
+ gf AS (SELECT category, answerable, qtp correct_question_type, FALSE correct_answer_form, FALSE correct_entity, FALSE correct_relation, FALSE correct_object, abst correctly_abstained, er entity_resolved_n, oe AND (er OR NOT answerable) correct_entity_resolution,
   cm AND er AND NOT abst AND ob object_resolved_n, cm AND er AND NOT abst AND ob AND oo correct_object_resolution, pf AND CASE WHEN answerable THEN mapped ELSE er AND NOT abst END preferred_grounding_match, mapped AND (pf OR wi) acceptable_grounding,
-  mapped AND NOT (pf OR wi) unacceptable_grounding, NOT mapped no_mapping_performed FROM b),
- g AS (SELECT coalesce(category, '(all)') category, answerable, count(*) total, sum((category = 'comparative')::INT) object_expected, {', '.join(f'sum({m}::INT) {m}' for m in metrics)} FROM f GROUP BY GROUPING SETS ((answerable, category), (answerable))),
- o AS (SELECT answerable, count(*) oe FROM f WHERE category = 'comparative' GROUP BY answerable),
- u AS ({' UNION ALL '.join(f"SELECT category, g.answerable, '{m.removesuffix('_n')}' metric, {m}::BIGINT n, " + {'correct_object_resolution': 'object_resolved_n', 'correct_entity_resolution': 'entity_resolved_n', 'object_resolved_n': "CASE WHEN category = '(all)' THEN coalesce(oe, 0) WHEN category = 'comparative' THEN total ELSE 0 END"}.get(m, 'total') + '::BIGINT base FROM g LEFT JOIN o ON o.answerable = g.answerable' for m in metrics)})
+  mapped AND NOT (pf OR wi) unacceptable_grounding, NOT mapped no_mapping_performed FROM gb),
+ gg AS (SELECT coalesce(category, '(all)') category, answerable, count(*) total, sum((category = 'comparative')::INT) object_expected, {', '.join(f'sum({m}::INT) {m}' for m in metrics)} FROM gf GROUP BY GROUPING SETS ((answerable, category), (answerable))),
+ go AS (SELECT answerable, count(*) oe FROM gf WHERE category = 'comparative' GROUP BY answerable),
+ u AS ({' UNION ALL '.join(f"SELECT category, gg.answerable, '{m.removesuffix('_n')}' metric, {m}::BIGINT n, " + {'correct_object_resolution': 'object_resolved_n', 'correct_entity_resolution': 'entity_resolved_n', 'object_resolved_n': "CASE WHEN category = '(all)' THEN coalesce(oe, 0) WHEN category = 'comparative' THEN total ELSE 0 END"}.get(m, 'total') + '::BIGINT base FROM gg LEFT JOIN go ON go.answerable = gg.answerable' for m in metrics)})
  SELECT *, {pct.format('n', 'base')} pct FROM u""",
         "eval_labels": man + f""", g AS (SELECT system, coalesce(category, '(all)') category, count(*) total, sum(un::INT) unanswerable, sum((NOT un)::INT) answerable, {', '.join(f"sum((lab = '{l}')::INT) l{i}" for i, l in enumerate(labels))} FROM m GROUP BY GROUPING SETS ((system, category), (system))),
  u AS ({' UNION ALL '.join(f"SELECT system, category, '{l}' AS " + '"label"' + f", l{i}::BIGINT n, {b}::BIGINT base FROM g" for i, (l, b) in enumerate(ev.LABELS.items()))}) SELECT *, {pct.format('n', 'base')} pct FROM u""",
