@@ -31,8 +31,11 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 def words_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, copy, pos, word)`` in the order of the text; one row with a null word for empty and null
     texts. ``copy`` is a hash of the text: rows that repeat key and text are one document."""
-    words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
-    return docs.select(F.col(key), F.xxhash64(F.col(text)).alias("copy"), F.posexplode_outer(words).alias("pos", "word"))
+    return _explode(docs.select(key, text, F.xxhash64(F.col(text)).alias("copy")), key, text)
+
+
+def _explode(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(key, "copy", F.posexplode_outer(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))).alias("pos", "word"))
 
 
 def word_table(words: DataFrame, file: str) -> tuple[DataFrame, int, int]:
@@ -77,8 +80,10 @@ def encode(docs: DataFrame, key: str, text: str, file: str | None = None, limit:
     An empty text and a null text both give an empty list. Rows that repeat a key with the same text
     give one row, those with another text one more row. A null key is a key like any other.
     """
-    words = words_of(docs, key, text)
-    joined = join_words(words, *word_table(words, file or tokenizer_file()), limit=limit)
+    table = word_table(words_of(docs, key, text), file or tokenizer_file())
+    # texts are smaller than their ids: they are shuffled once, so the lists are gathered where they stand
+    placed = docs.select(key, text, F.xxhash64(F.col(text)).alias("copy")).repartition(key, "copy")
+    joined = join_words(_explode(placed, key, text), *table, limit=limit)
     at = F.when(F.col("word").isNotNull(), F.struct("pos", "ids"))
     lists = joined.groupBy(key, "copy").agg(F.array_sort(F.collect_set(at)).alias("w"))
     return lists.select(key, F.flatten(F.transform("w", lambda x: x["ids"])).alias("ids"))
@@ -89,7 +94,7 @@ def token_counts(docs: DataFrame, key: str, text: str, file: str | None = None,
     words = words_of(docs, key, text)
     table, rows, total = word_table(words, file or tokenizer_file())
     sizes = table.select("word", "n", F.size("ids").alias("ids"))
-    joined = join_words(words.dropDuplicates([key, "copy", "pos"]) if docs.isStreaming else words, sizes, rows, total, limit)
+    joined = join_words(words, sizes, rows, total, limit)
     return joined.groupBy(key, "copy").agg(F.coalesce(F.sum("ids"), F.lit(0)).cast("bigint").alias("tokens")).select(key, "tokens")
 
 
