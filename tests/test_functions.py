@@ -1,0 +1,199 @@
+"""Functions and operators that SQL does not cover, against plain Python."""
+
+import random
+from difflib import SequenceMatcher
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from graphloom.functions import markdown as md
+from graphloom.functions import similarity as sm
+from graphloom.functions import text as fx
+from graphloom.model import Recorded, Remote, Rules, predict
+from graphloom.operators import ground as gr
+from graphloom.operators import triples as tr
+from graphloom.operators.cluster import average_linkage, nearest, vector_pairs
+from graphloom.operators.evaluate import paired
+from graphloom.sources.turtle import parse_turtle
+
+
+def test_ratio_and_bounds(spark):
+    rnd = random.Random(1)
+    word = lambda: "".join(rnd.choice("abcd e") for _ in range(rnd.randrange(12)))
+    data = [(word(), word()) for _ in range(200)] + [("", ""), (None, "a")]
+    df = spark.createDataFrame(data, "a string, b string").select("a", "b", sm.match_ratio("a", "b").alias("r"), sm.char_bound(F.col("a"), F.col("b")).alias("c"), sm.bag_bound(F.col("a"), F.col("b")).alias("g"))
+    for x in df.collect():
+        if x["a"] is None:
+            assert x["r"] is None
+            continue
+        assert x["r"] == pytest.approx(SequenceMatcher(None, x["a"], x["b"]).ratio())
+        assert x["r"] <= x["g"] + 1e-12 <= x["c"] + 1e-9
+
+
+def test_uri(spark):
+    texts = ["a b+c/é-~.*_", "100%", "%zz", "ø", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [(r["e"], r["d"]) for r in df.select(fx.uri_fragment("t").alias("e"), fx.uri_decode(fx.uri_fragment("t")).alias("d")).collect()]
+    assert got[0][0] == "a%20b%2Bc%2F%C3%A9-~.%2A_" and [d for _, d in got] == texts
+    assert df.select(fx.uri_decode("t").alias("d")).collect()[2]["d"] == "%zz"
+
+
+def test_json_repair(spark):
+    texts = ['{"a":1}', '[{"a":1},{"b"', '{"x":[{"a":1},{"b', "nothing", None, ""]
+    got = [r["j"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(fx.repaired_json("t").alias("j")).collect()]
+    assert got == ['{"a":1}', '[{"a":1}]', '{"x":[{"a":1}]}', None, None, None]
+
+
+def test_html(spark):
+    assert spark.createDataFrame([("a &amp; b &eacute; &#8364;",), (None,)], "t string").select(fx.html_unescape("t").alias("u")).collect()[0]["u"] == "a & b é €"
+
+
+PAGE = """---
+title: "My page"
+date: 2024-01-02
+tags: [a, "b"]
+draft: false
+---
+{{< alert >}}Mind <b>this</b>{{< /alert >}}
+{{< card title="Big" subtitle="Small" >}}inner {{< img alt="A" src="x.png" >}}{{< /card >}}
+## One
+1) first
+We are currently updating our support articles and some info may be outdated.
+see [there](../other/index.en.md) and <a href="http://x">out</a>
+### Two
+text - end.
+"""
+
+
+def test_page():
+    meta, body = md.front_matter(PAGE)
+    assert meta == {"title": "My page", "date": "2024-01-02", "tags": ["a", "b"], "draft": False}
+    c = md.clean(body, "site/support/page/index.en.md")
+    assert "Warning: Mind this" in c.text and "## Big\ntitle: Big\n### Small\nsubtitle: Small" in c.text
+    assert "Image: A (source: x.png)" in c.text and "[there](/site/support/other)" in c.text and "[out](http://x)" in c.text
+    assert "1. first" in c.text and c.boilerplate_removed and not c.html_residue and not c.shortcode_residue
+    chunks = md.page_chunks(c.text, "My page", 12)
+    assert all(x["token_count"] <= 12 for x in chunks) and [x["chunk_index"] for x in chunks] == list(range(len(chunks)))
+    words = lambda t: t.split()
+    assert words(" ".join(x["chunk_text_clean"] for x in chunks)) == words(c.text)
+
+
+def test_titles_in_a_row():
+    s = [md.Section("A", 1, "# A", 0), md.Section("B", 2, "## B", 1), md.Section("C", 3, "### C\n" + "w " * 70, 2)]
+    assert [x.title for x in md.groups(s, 100)[0].sections] == ["A", "B", "C"]
+    assert [x.title for x in md.groups(s, 100, compat=True)[0].sections] == ["A", "C"]
+
+
+def test_turtle():
+    text = '''@prefix ex: <http://e#> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> .
+    # note
+    ex:a%20b a ex:C , <http://e#D> ; ex:p "x\\"\\u00e9\\n"@en , 5, 2.5 , true, "2024-01-01"^^xsd:date ; .
+    ex:c.d ex:q """two
+lines""" .'''
+    got = list(parse_turtle(text))
+    assert got[0] == ("http://e#a%20b", tr.RDF_TYPE, "http://e#C", "iri", None) and got[2][2] == 'x"é\n'
+    assert [t[4] and t[4].split("#")[1] for t in got] == [None, None, None, "integer", "decimal", "boolean", "date", None]
+    assert got[-1][0] == "http://e#c.d" and got[-1][2] == "two\nlines"
+    for bad in ("ex:a ex:b ex:c .", "<a> <b> [ ] .", "@prefix ex: <e> . ex:a ex:b ex:c"):
+        with pytest.raises((ValueError, IndexError)):
+            list(parse_turtle(bad))
+
+
+def test_typed_literals(spark):
+    rows = [("True", "xsd:boolean"), ("t", "xsd:boolean"), ("007", "xsd:integer"), ("x", "xsd:integer"), ("1.5", "xsd:decimal"), ("v", "xsd:nope"), ("v", None), (None, "xsd:string")]
+    got = [tuple(r["l"]) for r in spark.createDataFrame(rows, "v string, d string").select(tr.typed_literal(F.col("v"), F.col("d")).alias("l")).collect()]
+    x = tr.XSD
+    assert got == [("true", x + "boolean"), ("false", x + "boolean"), ("7", x + "integer"), ("x", None), ("1.5", x + "decimal"), ("v", None), ("v", None), (None, None)]
+
+
+def triples(spark, rows):
+    return spark.createDataFrame([(s, p, o, "iri", None) for s, p, o in rows], "s string, p string, o string, o_kind string, o_dtype string")
+
+
+def test_inference_order_and_validation(spark):
+    rows = [("x", tr.RDF_TYPE, "A"), ("A", tr.SUBCLASS, "B"), ("B", tr.SUBCLASS, "A"), ("B", tr.EQUIVALENT, "E"), ("E", tr.SUBCLASS, "F"), (tr.EX + "hasPart", tr.RDF_TYPE, tr.OBJECT_PROPERTY),
+            (tr.EX + "hasPart", tr.DOMAIN, "A"), ("x", tr.EX + "hasPart", "y"), ("y", tr.EX + "hasPart", "x")]
+    t = triples(spark, rows)
+    assert {tuple(r) for r in tr.invalid_links(t).collect()} == {("y", tr.EX + "hasPart", "x")}
+    types = lambda d: {(r["s"], r["o"]) for r in d.where(F.col("p") == tr.RDF_TYPE).collect() if r["s"] == "x"}
+    once = tr.infer(tr.validate(t))
+    assert types(once) == {("x", k) for k in "ABE"} and once.where(F.col("p") == tr.EX + "isPartOf").count() == 1
+    assert types(tr.infer(t, saturate=True)) == {("x", k) for k in "ABEF"}
+    assert {r["o"] for r in tr.direct_types(once).where("s = 'x'").collect()} == {"A", "B", "E"}
+    assert {r["o"] for r in tr.direct_types(once, compat=True).where("s = 'x'").collect()} == {"E"}
+
+
+def test_average_linkage():
+    def brute(v, most):
+        c = [[i] for i in range(len(v))]
+        while len(c) > 1:
+            d, a, b = min((np.mean([1 - v[i] @ v[j] for i in x for j in y]), p, q) for p, x in enumerate(c) for q, y in enumerate(c) if p < q)
+            if d >= most:
+                break
+            c[a] += c.pop(b)
+        return sorted(sorted(x) for x in c)
+
+    rnd = np.random.default_rng(2)
+    for _ in range(10):
+        v = rnd.normal(size=(14, 3))
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        labels = average_linkage(list(range(14)), v, 0.3)
+        assert sorted([i for i in range(14) if labels[i] == k] for k in set(labels)) == brute(v, 0.3)
+
+
+def test_vectors(spark):
+    rnd = np.random.default_rng(3)
+    v = rnd.normal(size=(60, 8))
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(98, None), (99, [0.0] * 8)], "id long, v array<float>")
+    u = v.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if u[i] @ u[j] > 0.5}
+    assert {(r["a"], r["b"]) for r in vector_pairs(df, "id", "v", 0.5, block_rows=20).collect()} == want
+    top = nearest(df.where("id = 5"), df, "id", "id", "v", 3).orderBy("rank").collect()
+    assert [r["item"] for r in top] == [int(i) for i in np.argsort(-np.round(u @ u[5], 6), kind="stable")[:3]]
+
+
+def test_grounding():
+    ctx = {"types": ["TeamMember"], "superclasses": {"TeamMember": ["Person"]}, "equivalent_classes": [], "class_descriptions": {"Person": {}}, "members": ["Al"], "chunk_id": ["1", "12"],
+           "properties_by_type": {"TeamMember": {"outgoing_data_properties": [{"property": "hasRole", "value": "CTO & Founder"}, {"property": "level", "value": "1"}]}}}
+    ctx["class_descriptions"] = {"Person": "a human being who acts"}
+    m = gr.ground_one("The teammember is CTO & founder, a human being who acts, chunk 12.", ctx)
+    assert m["types"] == ["TeamMember"] and m["superclasses"] == ["Person"] and m["property_values"] == {"hasRole": "cto & founder"} and m["chunk_id"] == ["12"] and m["members"] == []
+    assert gr.ground_one("chunk 12", ctx, compat=True)["chunk_id"] == ["1", "12"]
+    assert gr.ground_one("", ctx) is None
+
+
+def test_merge_is_right_biased_and_idempotent(spark):
+    empty = "array<string>"
+    kind = "struct<" + ",".join(f"{f}:{empty}" for f in gr.FACETS) + ",property_values:map<string,string>>"
+    r = (["b", "a"], None, [], ["p"], [], [], [], {"k": "old", "x": "1"})
+    a = (["a", "c"], ["s"], None, [], [], [], [], {"k": "new"})
+    df = spark.createDataFrame([(r, a)], f"r {kind}, a {kind}")
+    m = df.select(*gr.merge_mappings()).first()
+    assert m["types"] == ["a", "b", "c"] and m["superclasses"] == ["s"] and m["property_values"] == {"k": "new", "x": "1"}
+    twice = df.select(F.struct(*gr.merge_mappings()).alias("r")).withColumn("a", F.col("r")).select(*gr.merge_mappings()).first()
+    assert twice == m
+
+
+def test_providers(spark):
+    rows = spark.createDataFrame([("k1", ["A"]), ("k2", ["A", "B"])], "key string, classes array<string>")
+    by = {r["key"]: r for r in predict(rows, "polysemy", Rules()).collect()}
+    assert by["k1"]["by"] == "rule" and by["k1"]["result"]["decisions"][0]["action"] == "merge" and {d["action"] for d in by["k2"]["result"]["decisions"]} == {"reject"}
+    told = spark.createDataFrame([("polysemy", "k2", '{"decisions":[{"class":"A","action":"merge"}')], "operator string, key string, output string")
+    by = {r["key"]: r for r in predict(rows, "polysemy", Recorded(told)).collect()}
+    assert by["k2"]["result"]["decisions"][0]["class"] == "A"
+    far = predict(rows, "polysemy", Remote(lambda op, texts: ['{"decisions":[]}'] * len(texts), parallel=1)).where("key = 'k2'").first()
+    assert far["by"] == "model" and far["result"]["decisions"] == []
+
+    def broken(op, texts):
+        raise RuntimeError
+
+    assert predict(rows, "polysemy", Remote(broken, parallel=1)).where("key = 'k2'").first()["result"] is None
+
+
+def test_pairing_demands_both_sides(spark):
+    a, b = spark.createDataFrame([("q1", 1), ("q2", 2)], "q string, x int"), spark.createDataFrame([("q1", 3)], "q string, x int")
+    assert paired(a.where("q = 'q1'"), b, "q").first()["other_x"] == 3
+    with pytest.raises(Exception, match="no result of the other system"):
+        paired(a, b, "q").collect()
