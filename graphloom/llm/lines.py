@@ -16,7 +16,8 @@ def site_of(path: Column) -> Column:
 
 
 def letters(line: Column) -> Column:
-    """The letters of a line (category L) in order, case folded; '' for a line without letters."""
+    """The letters of a line (category L) in order, lower case by simple mappings (letter by letter);
+    '' for a line without letters."""
     return F.lower(F.upper(F.regexp_replace(line, r"[^\p{L}]+", "")))
 
 
@@ -48,7 +49,7 @@ def find_lines(docs: DataFrame, key: str, group: list[str], page: str, text: str
     """``(key, line_no)`` of every line to remove, each once however often its row was delivered."""
     freq = frequent_lines(docs, group, page, text, min_pages, min_share)
     lines = _lines(docs.dropna(subset=[key, *group, page]).select(key, *group, text), group, text)
-    hit = lines.join(bounded_broadcast(freq.select("g", "h1", "h2")), ["g", "h1", "h2"], "left_semi")
+    hit = lines.join(bounded_broadcast(freq), ["g", "h1", "h2"], "left_semi")
     return hit.select(key, "line_no").distinct()
 
 

@@ -150,6 +150,8 @@ def bigram_counts(docs: DataFrame, text: str) -> DataFrame:
             inside = (scripts[1:] >= 0) & ((scripts[:-1] == scripts[1:]) | (scripts[:-1] < 0))
             a = np.where(scripts[:-1] < 0, ord("^"), a)
             keys, n = np.unique((a << 21 | b)[inside], return_counts=True)
+            if not len(keys):
+                continue
             yield pd.DataFrame({"pair": [chr(k >> 21) + chr(k & 0x1FFFFF) for k in keys.tolist()], "n": n.astype(np.int64)})
 
     return docs.select(F.col(text).alias("t")).mapInPandas(run, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))

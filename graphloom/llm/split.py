@@ -54,7 +54,7 @@ def cut_points(levels: np.ndarray, hashes: np.ndarray, first: int, rest: int, mi
         most = first if not cuts else rest
         least = max(1, int(most * min_part))
         lo, hi = start + least - 1, start + most - 1
-        mark = lo + int(np.argmin(hashes[lo : hi + 1]))
+        mark = hi - int(np.argmin(hashes[lo : hi + 1][::-1]))  # the last one of ties
         best = int(levels[lo : hi + 1].max())
         if best:
             at = lo + np.flatnonzero(levels[lo : hi + 1] == best)
