@@ -88,7 +88,7 @@ def written_bytes(df: DataFrame) -> int:
 
 
 def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A broadcast hint if the table made by ``cut`` is below ``limit`` bytes; else the table as it is,
+    """A broadcast hint if the table, as ``cut`` made it, is below ``limit`` bytes; else the table as it is,
     which the optimiser then joins by shuffle, with AQE splitting skewed partitions."""
     return F.broadcast(df) if written_bytes(df) <= limit else df
 
