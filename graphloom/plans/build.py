@@ -6,17 +6,23 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..common import cut
 from ..model import Recorded, Remote, Rules, predict
 from ..operators import resolve as rs
 from ..operators.cluster import fuzzy_name_clusters, vector_clusters
 from ..operators.triples import from_ontology, infer, validate
-from ..sources.files import phase
+from ..sources.files import ASSERTION, AXIOM, phase
 
 Provider = Rules | Recorded | Remote
 
 
+def _full(rows: DataFrame, schema: StructType) -> DataFrame:
+    """``rows`` with all columns of ``schema``, missing ones null."""
+    return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+
+
 def build_kb(chunks: DataFrame, base_classes: DataFrame, provider: Provider, limit: int | None = None) -> dict[str, DataFrame]:
     """Chunks into classes, axioms and assertions through the eight construction operators.
 
@@ -36,7 +42,7 @@ def build_kb(chunks: DataFrame, base_classes: DataFrame, provider: Provider, lim
         rows = predict(local, op, provider).select("chunk_no", F.explode("result.axioms").alias("x"))
         kind = F.lit("SubClassOf") if typed else F.lit(None).cast("string")
         axioms.append(rows.select(kind.alias("type"), "x.*", F.col("chunk_no").alias("chunk_id")))
-    axioms = cut(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), axioms), "axioms")
+    axioms = cut(_full(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), axioms), AXIOM), "axioms")
     inst = cut(predict(local, "instances", provider).select("key", "chunk_no", "text", "classes", F.col("result.instances").alias("instances")), "instances")
     people = inst.withColumn("individuals", F.array_distinct(F.transform(F.coalesce("instances", F.array()), lambda x: x["id"])))
     props = axioms.where("datatype is not null").groupBy(F.col("chunk_id").alias("chunk_no")).agg(F.array_sort(F.collect_set("property")).alias("properties"))
@@ -49,10 +55,7 @@ def build_kb(chunks: DataFrame, base_classes: DataFrame, provider: Provider, lim
         one.select(F.lit("ClassAssertion").alias("type"), F.col("x.id").alias("individual"), F.col("x.class").alias("class"), chunk),
         links.select(F.lit("ObjectPropertyAssertion").alias("type"), "x.*", chunk), values.select(F.lit("DataPropertyAssertion").alias("type"), "x.*", chunk),
     ])
-    for col, kind in (("individuals", "array<string>"), ("id", "string"), ("individual", "string"), ("class", "string"), ("subject", "string"), ("property", "string"), ("object", "string"), ("value", "string"), ("datatype", "string")):
-        if col not in abox.columns:
-            abox = abox.withColumn(col, F.lit(None).cast(kind))
-    keyed = cut(abox, "abox").withColumn("assertion_id", F.monotonically_increasing_id())
+    keyed = cut(_full(abox, ASSERTION), "abox").withColumn("assertion_id", F.monotonically_increasing_id())
     upper = base_classes.select("class", "description", F.array().cast("array<int>").alias("chunk_ids"))
     return {"classes": upper.unionByName(classes, allowMissingColumns=True), "axioms": axioms, "abox": cut(keyed, "abox")}
 
