@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..common import bounded_broadcast, cut
-from ..functions.similarity import bag_bound, char_bound, long_tokens, match_ratio, overlap_share
+from ..common import bounded_broadcast, cut, cut_counted
+from ..functions.similarity import count_bound, counted, length_bound, long_tokens, match_ratio, overlap_share
 from ..functions.text import entity_key, letter_tokens, readable
 from .triples import (
     ANNOTATION_PROPERTY, CLASS, COMMENT, DATA_PROPERTY, DOMAIN, EQUIVALENT, EX, INDIVIDUAL, LABEL, OBJECT_PROPERTY, RANGE, RDF_TYPE, SUBCLASS,
@@ -55,15 +55,19 @@ def candidates(entities: DataFrame, names: DataFrame, top: int = 10, keep: float
     compared with every name; native upper bounds of the ratio remove nearly all pairs before the Arrow
     function runs, without losing a pair at or above ``keep``. Ties go by uri.
     """
-    e = cut(entities.select("entity").where("entity is not null").distinct().withColumn("ek", entity_key("entity")), "query-entities")
+    e = entities.select("entity").where("entity is not null").distinct().withColumn("ek", entity_key("entity"))
+    e = cut(e.select("entity", "ek", F.length("ek").alias("en"), letter_tokens(F.col("ek")).alias("et"), *counted("ek", "e")), "query-entities")
     n = names.select("uri", "label", entity_key("label").alias("lk"), entity_key("fragment").alias("fk"))
+    n, rows = cut_counted(n.select("*", F.length("lk").alias("ln"), F.length("fk").alias("fn"), F.when(F.col("lk") == F.col("fk"), 0.8).otherwise(0.45).alias("cf"), long_tokens(F.col("lk")).alias("lt"), *counted("lk", "l")), "names")
+    n = n.repartition(max(n.sparkSession.sparkContext.defaultParallelism, rows // 10_000))  # few bytes, much work
     ek, lk, fk = F.col("ek"), F.col("lk"), F.col("fk")
     exact = (ek == lk) | (ek == fk)
-    native = _native_part(ek, lk)
-    rough = 0.45 * char_bound(ek, lk) + 0.35 * char_bound(ek, fk) + native
-    pairs = n.join(bounded_broadcast(e), exact | (rough >= keep - 1e-9))
-    tight = 0.45 * bag_bound(ek, lk) + 0.35 * bag_bound(ek, fk) + native
-    pairs = pairs.where(exact | (tight >= keep - 1e-9)).withColumn("exact", exact).withColumn("native", native)
+    other = F.when(F.col("cf") < 0.8, 0.35 * length_bound(F.col("en"), F.col("fn"))).otherwise(0.0)
+    best_case = F.col("cf") * count_bound("e", "l", F.col("en"), F.col("ln")) + other
+    # tokens are looked at only for pairs that could make it with all token points
+    pairs = n.join(bounded_broadcast(e), exact | (best_case >= keep - 0.2 - 1e-9))
+    native = 0.15 * overlap_share(F.col("et"), F.col("lt")) + 0.05 * F.when(F.arrays_overlap("et", "lt"), 1.0).otherwise(0.0)
+    pairs = pairs.select("entity", "uri", "label", "ek", "lk", "fk", exact.alias("exact"), native.alias("native"), best_case.alias("best")).where(F.col("exact") | (F.col("best") + F.col("native") >= keep - 1e-9))
     scored = pairs.withColumn("r1", match_ratio(ek, lk)).withColumn("r2", F.when(lk == fk, F.col("r1")).otherwise(match_ratio(ek, fk)))
     scored = scored.withColumn("score", F.when(F.col("exact"), F.lit(1.0)).otherwise(0.45 * F.col("r1") + 0.35 * F.col("r2") + F.col("native")))
     best = scored.where(F.col("score") >= keep).groupBy("entity", "uri").agg(F.max(F.struct("score", "label")).alias("m")).select("entity", "uri", "m.label", "m.score")
