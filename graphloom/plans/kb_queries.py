@@ -187,7 +187,7 @@ def kb_individuals_by_chunk(spark, d):
 
 
 def kb_scoped_classes(spark, d):
-    return rs.scoped_classes(table(spark, d, "tbox_classes"), 5000).select(strip_name("class").alias("class")).distinct()
+    return rs.scoped_classes(table(spark, d, "tbox_classes")).select(strip_name("class").alias("class")).distinct()
 
 
 def kb_accumulate(spark, d):
