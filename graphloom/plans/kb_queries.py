@@ -36,6 +36,11 @@ def _entities(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("uri", tr.iri(F.col("entity")))
 
 
+def _nodes(t: DataFrame, *kinds: str) -> DataFrame:
+    """``(uri)``: all individuals and classes, or the nodes of the kinds given."""
+    return t.where((F.col("p") == tr.RDF_TYPE) & F.col("o").isin(*(kinds or (tr.CLASS, tr.INDIVIDUAL)))).select(F.col("s").alias("uri")).distinct()
+
+
 def kb_triples(spark, d):
     """All triples of the ontology tables."""
     return _t(spark, d)
@@ -64,7 +69,9 @@ def kb_loose_classes(spark, d):
 
 
 def kb_entity_axioms(spark, d):
-    return tr.entity_axioms(_kept(spark, d), _entities(spark, d).select(F.col("uri").alias("s")))
+    """Axioms of all individuals and classes."""
+    t = _kept(spark, d)
+    return tr.entity_axioms(t, _nodes(t).select(F.col("uri").alias("s")))
 
 
 def kb_subclass_types(spark, d):
@@ -291,12 +298,13 @@ def entity_enriched(spark, d):
 
 
 def context_properties(spark, d):
-    return rt.applicable(_kept(spark, d), _entities(spark, d)).select("uri", "type", "direction", "property", "other")
+    t = _kept(spark, d)
+    return rt.applicable(t, cut(_nodes(t), "nodes")).select("uri", "type", "direction", "property", "other")
 
 
 def _contexts(spark, d):
     t = _kept(spark, d)
-    return cut(rt.context(t, _entities(spark, d)), "contexts")
+    return cut(rt.context(t, cut(_nodes(t), "nodes")), "contexts")
 
 
 def context_provenance(spark, d):
@@ -313,10 +321,9 @@ def context_property_descriptions(spark, d):
 
 
 def context_members(spark, d):
-    """Members of the classes whose first chunk number is divisible by 50."""
+    """Members of all classes."""
     t = _kept(spark, d)
-    e = table(spark, d, "tbox_classes").where(F.get("chunk_ids", F.lit(0)) % 50 == 0).select(strip_name("class").alias("class")).where("class is not null").distinct()
-    ctx = rt.context(t, e.select(tr.iri(F.col("class")).alias("uri")))
+    ctx = rt.context(t, cut(_nodes(t, tr.CLASS), "nodes"))
     return ctx.select("label", F.array_join("members", "|").alias("members"), F.array_join(F.coalesce(F.element_at("superclasses", F.col("label")), F.array()), "|").alias("direct"))
 
 
