@@ -29,8 +29,8 @@ def text_keys(spark, d):
 
 
 def uri_roundtrip(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.substring_index("text", "\n", 1).alias("line"))
-    e = fx.uri_fragment(F.concat_ws(" ", "source", "line"))
+    t = table(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
+    e = fx.uri_fragment(F.concat_ws(" ", "source", "text"))
     return t.select("doc_id", e.alias("encoded"), fx.uri_decode(e).alias("decoded"))
 
 

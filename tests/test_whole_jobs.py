@@ -1,5 +1,7 @@
 """Queries answer for all of their data, not for a part of it."""
 
+from urllib.parse import quote
+
 import pytest
 from oracle import SMALL, rows_of, sql_rows
 
@@ -36,3 +38,11 @@ def test_all_nodes(spark, name):
 def test_counts_of_all_contexts(spark):
     nodes = {r["node"] for r in QUERIES["kb_node_kinds"](spark, SMALL).where("kind in ('class', 'individual')").collect()}
     assert {r["uri"] for r in QUERIES["context_counts"](spark, SMALL).collect()} == nodes
+
+
+def test_uris_of_whole_texts(spark, tmp_path):
+    rows = [(1, "s", "one\ntwo  æ%\r\n\tthree\n"), (2, None, "\n\n#"), (3, "s", None), (4, "s", "")]
+    spark.createDataFrame(rows, "doc_id bigint, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["encoded"], r["decoded"]) for r in QUERIES["uri_roundtrip"](spark, str(tmp_path)).collect()}
+    whole = {k: " ".join(x for x in (s or "", t) if x is not None) for k, s, t in rows}
+    assert got == {k: (quote(v, safe=""), v) for k, v in whole.items()}
