@@ -122,6 +122,11 @@ def chunk_documents(spark, d):
 _LOG = "input string, question_type string, answer_form string, answer string, reasoning string, entity string, types array<string>, superclasses array<string>, members array<string>, text string"
 
 
+def _object(x: object) -> dict:
+    """An object as it is, of a list the first object in it, else an empty one."""
+    return next((v for v in (x if isinstance(x, list) else [x]) if isinstance(v, dict)), {})
+
+
 def _logs(spark: SparkSession, d: str) -> DataFrame:
     """``(log_id, ...)``: the parts of each readable log that questions and grounding need."""
     import pandas as pd
@@ -133,10 +138,8 @@ def _logs(spark: SparkSession, d: str) -> DataFrame:
                 r = read_record(p)
                 if r is None or k is None:
                     continue
-                obj = lambda n: r.get(n) if isinstance(r.get(n), dict) else {}  # noqa: E731,B023
-                full = r.get("full_context")
-                ctx = (full[0] if isinstance(full, list) and full else full) or {}
-                ent = ctx.get("entity_context") if isinstance(ctx, dict) and isinstance(ctx.get("entity_context"), dict) else {}
+                obj = lambda n: _object(r.get(n))  # noqa: E731,B023
+                ent = _object(obj("full_context").get("entity_context"))
                 sup = [x for v in (ent.get("superclasses") or {}).values() for x in v]
                 ans = obj("generated_answer")
                 rows.append((k, r.get("input"), obj("resolved_question_type").get("question_type"), obj("resolved_answer_form").get("answer_form"), ans.get("answer"), ans.get("reasoning"), obj("extracted_entity").get("primary_entity"), ent.get("types"), sup, ent.get("members"), p))

@@ -1,5 +1,6 @@
 """Queries answer for all of their data, not for a part of it."""
 
+import json
 from urllib.parse import quote
 
 import pytest
@@ -46,3 +47,15 @@ def test_uris_of_whole_texts(spark, tmp_path):
     got = {r["doc_id"]: (r["encoded"], r["decoded"]) for r in QUERIES["uri_roundtrip"](spark, str(tmp_path)).collect()}
     whole = {k: " ".join(x for x in (s or "", t) if x is not None) for k, s, t in rows}
     assert got == {k: (quote(v, safe=""), v) for k, v in whole.items()}
+
+
+def test_question_types_in_lists(spark, tmp_path):
+    one, other = {"question_type": "membership"}, {"question_type": "taxonomic"}
+    logs = {"l1": [one, other], "l2": [None, "x", other], "l3": one, "l4": [], "l5": "membership", "l6": None}
+    rows = [(k, "site", json.dumps({"input": "q", "resolved_question_type": v, "resolved_answer_form": [{"answer_form": "list"}]})) for k, v in logs.items()]
+    spark.createDataFrame(rows, "log_id string, site string, payload string").write.parquet(str(tmp_path / "inference_logs.parquet"))
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    want = {"l1": "membership", "l2": "taxonomic", "l3": "membership"}
+    assert {r["log_id"]: r["question_type"] for r in run("sample_questions")} == want
+    assert {r["log_id"]: r["qt"] for r in run("question_labels")} == {k: want.get(k, "unknown") for k in logs}
+    assert {r["tier"]: r["total"] for r in run("eval_pass_rates") if r["domain"] == "site" and r["check"] == "type_known"} == {"membership": 2, "taxonomic": 1, "unknown": 3, "(all)": 6}
