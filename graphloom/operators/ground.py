@@ -106,7 +106,7 @@ def ground_one(answer: str | None, ctx: dict, compat: bool = False) -> dict | No
 
 
 def ground(rows: DataFrame, key: str, answer: str, context: str, compat: bool = False) -> DataFrame:
-    """``(key, mapping fields)`` for rows with an answer and a context struct, in Arrow batches.
+    """``(key, mapping fields)`` for rows with an answer and a context struct, or its JSON, in Arrow batches.
 
     Null and empty answers and null contexts give rows of nulls.
     """
@@ -123,7 +123,7 @@ def ground(rows: DataFrame, key: str, answer: str, context: str, compat: bool =
 
     picked = rows.select(F.col(key).alias("k"), F.col(answer).alias("a"), F.col(context).alias("c"))
     # a struct column becomes a pandas frame in Arrow batches, so the context travels as JSON
-    picked = picked.withColumn("c", F.to_json("c"))
+    picked = picked if dict(picked.dtypes)["c"] == "string" else picked.withColumn("c", F.to_json("c"))
     return picked.mapInPandas(run, f"k {kind}, {MAPPING}").withColumnRenamed("k", key)
 
 

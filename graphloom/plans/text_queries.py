@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -119,7 +121,7 @@ def chunk_documents(spark, d):
 
 # ---------------------------------------------------------------- questions
 
-_LOG = "input string, question_type string, answer_form string, answer string, reasoning string, entity string, types array<string>, superclasses array<string>, members array<string>, text string"
+_LOG = "input string, question_type string, answer_form string, answer string, reasoning string, entity string, types array<string>, superclasses array<string>, members array<string>, text string, entity_context string, object_context string"
 
 
 def _object(x: object) -> dict:
@@ -139,10 +141,10 @@ def _logs(spark: SparkSession, d: str) -> DataFrame:
                 if r is None or k is None:
                     continue
                 obj = lambda n: _object(r.get(n))  # noqa: E731,B023
-                ent = _object(obj("full_context").get("entity_context"))
+                ent, other = (_object(obj("full_context").get(n)) for n in ("entity_context", "object_context"))
                 sup = [x for v in (ent.get("superclasses") or {}).values() for x in v]
                 ans = obj("generated_answer")
-                rows.append((k, r.get("input"), obj("resolved_question_type").get("question_type"), obj("resolved_answer_form").get("answer_form"), ans.get("answer"), ans.get("reasoning"), obj("extracted_entity").get("primary_entity"), ent.get("types"), sup, ent.get("members"), p))
+                rows.append((k, r.get("input"), obj("resolved_question_type").get("question_type"), obj("resolved_answer_form").get("answer_form"), ans.get("answer"), ans.get("reasoning"), obj("extracted_entity").get("primary_entity"), ent.get("types"), sup, ent.get("members"), p, *(json.dumps(c) if c else None for c in (ent, other))))
             yield pd.DataFrame(rows, columns=["log_id", *[c.split()[0] for c in _LOG.split(", ")]])
 
     rows = table(spark, d, "inference_logs").select("log_id", "payload").mapInPandas(run, f"log_id string, {_LOG}")
@@ -195,11 +197,19 @@ def ground_exact(spark, d):
 
 
 def ground_answers(spark, d):
-    """Answers and reasonings mapped to the contexts of their logs, merged."""
-    l = _logs(spark, d).where("types is not null").withColumn("ctx", F.struct("types", F.map_from_arrays(F.array(F.lit("x")), F.array("superclasses")).alias("superclasses"), "members"))
+    """Answers and reasonings mapped to the whole contexts of their logs, merged; first those of the entity, then
+    those of the object, which is named by its label or URI."""
+    l = _logs(spark, d)
+    of = lambda k: F.get_json_object("object_context", f"$.{k}")
+    other = l.withColumn("entity", F.coalesce(of("label"), fx.readable(of("uri"))))
+    return _grounded(l, "entity_context").unionByName(_grounded(other, "object_context"))
+
+
+def _grounded(logs: DataFrame, context: str) -> DataFrame:
+    l = logs.where(F.col(context).isNotNull())
     fields = [*gr.FACETS, "property_values"]
-    r = gr.ground(l, "log_id", "reasoning", "ctx").select("log_id", F.struct(*fields).alias("r"))
-    a = gr.ground(l, "log_id", "answer", "ctx").select("log_id", F.struct(*fields).alias("a"))
+    r = gr.ground(l, "log_id", "reasoning", context).select("log_id", F.struct(*fields).alias("r"))
+    a = gr.ground(l, "log_id", "answer", context).select("log_id", F.struct(*fields).alias("a"))
     m = r.join(a, "log_id").select("log_id", *gr.merge_mappings())
     return gr.mapping_triples(m.join(l.select("log_id", "entity"), "log_id"), "log_id", "entity")
 

@@ -59,3 +59,13 @@ def test_question_types_in_lists(spark, tmp_path):
     assert {r["log_id"]: r["question_type"] for r in run("sample_questions")} == want
     assert {r["log_id"]: r["qt"] for r in run("question_labels")} == {k: want.get(k, "unknown") for k in logs}
     assert {r["tier"]: r["total"] for r in run("eval_pass_rates") if r["domain"] == "site" and r["check"] == "type_known"} == {"membership": 2, "taxonomic": 1, "unknown": 3, "(all)": 6}
+
+
+def test_answers_on_whole_contexts(spark, tmp_path):
+    ent = {"types": ["Lamp"], "superclasses": {"Lamp": ["Device"]}, "equivalent_classes": ["Light"], "class_descriptions": {"Lamp": None}, "members": [],
+           "properties_by_type": {"Lamp": {"outgoing_data_properties": [{"property": "hasCode", "value": "DU 10701"}], "outgoing_object_properties": [{"property": "isIn", "object": "Hall"}]}}}
+    obj = {"uri": "http://x/o#Big%20Hall", "types": ["Room"]}
+    log = {"extracted_entity": {"primary_entity": "L1"}, "full_context": [{"entity_context": ent, "object_context": obj}], "generated_answer": {"answer": "a light with code DU 10701", "reasoning": "it stands in the hall, a room"}}
+    spark.createDataFrame([("l1", json.dumps(log))], "log_id string, payload string").write.parquet(str(tmp_path / "inference_logs.parquet"))
+    got = {tuple(r)[1:] for r in QUERIES["ground_answers"](spark, str(tmp_path)).collect()}
+    assert got == {("L1", "be", "Light"), ("L1", "hasCode", "du 10701"), ("L1", "isIn", "hall"), ("Big Hall", "be", "Room")}
