@@ -54,12 +54,13 @@ def find_lines(docs: DataFrame, key: str, group: list[str], page: str, text: str
 
 
 def remove_lines(docs: DataFrame, key: str, text: str, found: DataFrame) -> DataFrame:
-    """``docs`` with ``clean_text``: the text without the found lines; one row per key.
+    """``docs`` with ``clean_text``: the text without the found lines; one row per key that is not null.
 
     A text whose lines are all removed becomes ''; null texts stay null, as do rows without a hit their
     text. Rows with a null key are kept as they are.
     """
     out = found.groupBy(F.col(key).alias("_k")).agg(F.collect_set("line_no").alias("_gone"))
-    rows = docs.dropDuplicates([key]).join(cut(out, "line-numbers"), F.col(key).eqNullSafe(F.col("_k")), "left")
+    once = docs.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(docs.where(F.col(key).isNull()))
+    rows = once.join(cut(out, "line-numbers"), F.col(key) == F.col("_k"), "left")
     kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
     return rows.withColumn("clean_text", F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept)).drop("_k", "_gone")

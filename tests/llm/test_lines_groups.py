@@ -30,6 +30,13 @@ def test_lines(spark):
     assert find_lines(df.limit(0), "chunk_id", ["site"], "page", "text").collect() == []
 
 
+def test_rows_without_key_stay(spark):
+    df = spark.createDataFrame([(None, "a\nb"), (None, "a\nb"), (None, None), ("k", "a\nb"), ("k", "a\nb")], "k string, t string")
+    found = spark.createDataFrame([("k", 0), (None, 1)], "k string, line_no int")
+    got = sorted((r["k"] or "", r["clean_text"] or "") for r in remove_lines(df, "k", "t", found).collect())
+    assert got == [("", ""), ("", "a\nb"), ("", "a\nb"), ("k", "b")]
+
+
 def roots(edges):
     parent = {}
 
