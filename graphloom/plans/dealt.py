@@ -93,6 +93,14 @@ def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
     return closure(edges.select(F.col("parent").alias("src"), F.col("node").alias("dst"))).select(F.col("src").alias("class"), F.col("dst").alias("descendant"), F.col("steps").cast("int").alias("depth"))
 
 
+def p4_subtrees(spark: SparkSession, d: str) -> DataFrame:
+    """The number of distinct descendants of every class; a class on a cycle counts itself."""
+    nodes, _ = _class_links(spark, d)
+    sizes = p4_descendants(spark, d).groupBy("class").agg(F.count(F.lit(1)).alias("descendants"))
+    rows = nodes.distinct().withColumnRenamed("node", "class").join(sizes, "class", "left")
+    return rows.select("class", F.coalesce("descendants", F.lit(0)).alias("descendants"))
+
+
 # ---------------------------------------------------------------- problem 6
 
 def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -122,7 +130,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_logs, p2_question_types, p2_entries, p2_candidates, p4_found, p4_paths, p4_descendants, p6_found, p6_report)}
+    return {f.__name__: f for f in (p2_found, p2_logs, p2_question_types, p2_entries, p2_candidates, p4_found, p4_paths, p4_descendants, p4_subtrees, p6_found, p6_report)}
 
 
 # ---------------------------------------------------------------- SQL

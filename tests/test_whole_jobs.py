@@ -69,3 +69,12 @@ def test_answers_on_whole_contexts(spark, tmp_path):
     spark.createDataFrame([("l1", json.dumps(log))], "log_id string, payload string").write.parquet(str(tmp_path / "inference_logs.parquet"))
     got = {tuple(r)[1:] for r in QUERIES["ground_answers"](spark, str(tmp_path)).collect()}
     assert got == {("L1", "be", "Light"), ("L1", "hasCode", "du 10701"), ("L1", "isIn", "hall"), ("Big Hall", "be", "Room")}
+
+
+def test_subtree_sizes(spark, tmp_path):
+    rows = [("A", []), ("B", ["A"]), ("C", ["A"]), ("D", ["B", "C"]), ("X", ["Y"]), ("Y", ["X"])]
+    kind = "class string, parents array<string>"
+    spark.createDataFrame(rows[:3], kind).write.parquet(str(tmp_path / "base_classes.parquet"))
+    spark.createDataFrame(rows[3:], kind).write.parquet(str(tmp_path / "tbox_classes.parquet"))
+    got = {r["class"]: r["descendants"] for r in QUERIES["p4_subtrees"](spark, str(tmp_path)).collect()}
+    assert got == {"A": 3, "B": 1, "C": 1, "D": 0, "X": 2, "Y": 2}
