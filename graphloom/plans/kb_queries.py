@@ -423,6 +423,7 @@ t AS MATERIALIZED (SELECT DISTINCT * FROM t0 WHERE s IS NOT NULL AND p IS NOT NU
 _TY = f"ty AS MATERIALIZED (SELECT DISTINCT s, o FROM t WHERE p = {_TYPE} AND o_kind = 'iri')"
 _CLO = f"sc AS (SELECT DISTINCT s a, o b FROM t WHERE p = {_SUB}), clo AS (SELECT a, b FROM sc UNION SELECT clo.a, sc.b FROM clo JOIN sc ON clo.b = sc.a)"
 _ENT = f"ent AS (SELECT DISTINCT {_n('id')} entity FROM abox WHERE type = 'DeclareIndividual' AND assertion_id % 50 = 0), en AS (SELECT entity, {_X}(entity) uri FROM ent WHERE entity IS NOT NULL)"
+_NODES = f"en AS (SELECT DISTINCT s uri FROM t WHERE p = {_TYPE} AND o IN ({_CLS}, {_IND}))"
 _READ = lambda x: f"url_decode(split_part({x}, '#', -1))"
 _EQSET = f"""
 eq AS (SELECT DISTINCT x, y FROM (SELECT {_n('domains[1]')} x, {_n('ranges[1]')} y FROM tbox_axioms WHERE type = 'equivalentClass') WHERE x <> 'Entity' AND y <> 'Entity'),
@@ -457,7 +458,7 @@ def oracle_sql() -> dict[str, str]:
         "kb_pattern": _w(_T) + f"SELECT s FROM t WHERE p = {_TYPE} AND o = {_IND}",
         "kb_labels": _w(_T) + f"SELECT q.s, coalesce(l, {_READ('q.s')}) \"label\" FROM (SELECT DISTINCT s FROM t WHERE p = {_TYPE} AND o IN ({_CLS}, {_IND}, {_OP}, {_DP})) q LEFT JOIN (SELECT s, min(o) l FROM t WHERE p = {_LAB} GROUP BY s) z ON z.s = q.s",
         "kb_loose_classes": _w(_T) + f"SELECT DISTINCT s FROM t WHERE p = {_TYPE} AND o = {_CLS} AND s NOT IN (SELECT s FROM t WHERE p = {_SUB} UNION SELECT o FROM t WHERE p IN ({_SUB}, {_TYPE}))",
-        "kb_entity_axioms": _w(_T, _ENT) + f"""SELECT DISTINCT q.s, category, q.p, q.o FROM (
+        "kb_entity_axioms": _w(_T, _NODES) + f"""SELECT DISTINCT q.s, category, q.p, q.o FROM (
  SELECT s, 'ClassAxiom' category, p, o FROM t WHERE p IN ({_SUB}, {_EQ}) OR (p = {_TYPE} AND o <> {_IND})
  UNION ALL SELECT s, 'ObjectPropertyAssertion', p, o FROM t WHERE p IN (SELECT s FROM t WHERE p = {_TYPE} AND o = {_OP})
  UNION ALL SELECT s, 'DataPropertyAssertion', p, o FROM t WHERE p IN (SELECT s FROM t WHERE p = {_TYPE} AND o = {_DP})
@@ -490,7 +491,7 @@ def oracle_sql() -> dict[str, str]:
         "kb_cleanup_counts": "SELECT (SELECT count(*) FROM tbox_classes) num_classes, (SELECT count(*) FROM tbox_axioms) num_axioms, (SELECT count(*) FROM abox) num_instances, (SELECT count(*) FROM pruned) num_pruned, (SELECT string_agg(phase || '=' || n, ';' ORDER BY phase) FROM (SELECT phase, count(*) n FROM pruned GROUP BY phase)) phases",
         "kb_individuals": _w(*_DETAIL) + "SELECT c.nm \"name\", c.cls \"class\", coalesce(txt, '') properties FROM (SELECT nm, max(cls) cls FROM cl GROUP BY nm) c LEFT JOIN (SELECT nm, string_agg(DISTINCT tx, '|' ORDER BY tx) txt FROM pt GROUP BY nm) p ON p.nm = c.nm",
         "kb_individuals_by_chunk": _w(*_DETAIL) + "SELECT c.nm \"name\", c.ch chunk_id, c.cls \"class\", coalesce(n, 0)::INT n FROM (SELECT nm, ch, max(cls) cls FROM cl GROUP BY nm, ch) c LEFT JOIN (SELECT nm, ch, count(DISTINCT tx) n FROM pt GROUP BY nm, ch) p ON p.nm = c.nm AND p.ch IS NOT DISTINCT FROM c.ch",
-        "kb_scoped_classes": f"SELECT DISTINCT {_n('class')} \"class\" FROM tbox_classes WHERE len(chunk_ids) > 0 AND chunk_ids[1] < 5000",
+        "kb_scoped_classes": f"SELECT DISTINCT {_n('class')} \"class\" FROM tbox_classes WHERE len(chunk_ids) > 0",
         "kb_accumulate": f"""WITH r AS (SELECT {_n('class')} c, description, unnest(chunk_ids) ch FROM tbox_classes)
  SELECT c "class", arg_min(description, {{'a': ch, 'b': description}}) description, (SELECT string_agg(ch, ',' ORDER BY ch) FROM (SELECT DISTINCT ch FROM r q WHERE q.c = r.c AND ch IS NOT NULL)) chunks FROM r WHERE c IS NOT NULL AND ch IS NOT NULL GROUP BY c""",
         "kb_merged": _w(_T) + "SELECT a || '|' || string_agg(b, '|' ORDER BY b) individuals FROM prs WHERE a < b GROUP BY a",
@@ -509,19 +510,19 @@ def oracle_sql() -> dict[str, str]:
  et AS (SELECT entity, k, list_distinct(regexp_extract_all(k, '[a-z]+')) ts FROM e), nt AS (SELECT *, list_filter(list_distinct(regexp_extract_all(lk, '[a-z]+')), lambda x: len(x) >= 4) ts FROM n),
  sc AS (SELECT entity, uri, lab, CASE WHEN k = lk OR k = fk THEN 1.0 ELSE 0.15 * len(list_intersect(et.ts, nt.ts)) / greatest(len(et.ts), 1) + 0.05 END::DOUBLE x FROM et JOIN nt ON len(list_intersect(et.ts, nt.ts)) > 0 OR k = lk OR k = fk)""")
         + "SELECT entity, uri, arg_max(lab, {'a': round(x, 6), 'b': lab}) \"label\", max(round(x, 6)) score FROM sc GROUP BY entity, uri",
-        "context_properties": _w(_T, _TY, _CLO, _ENT, _SAMESET, _DIRECT, f"""dom AS (SELECT DISTINCT s p, o c FROM t WHERE p = {_DOM}),
+        "context_properties": _w(_T, _TY, _CLO, _NODES, _SAMESET, _DIRECT, f"""dom AS (SELECT DISTINCT s p, o c FROM t WHERE p = {_DOM}),
  fit AS (SELECT DISTINCT x.o ty, dom.p FROM (SELECT DISTINCT dt.o FROM dt JOIN en ON en.uri = dt.s) x JOIN dom ON dom.c = x.o OR EXISTS (SELECT 1 FROM clo WHERE a = x.o AND b = dom.c)),
  st AS (SELECT DISTINCT uri, CASE WHEN o_kind = 'iri' THEN 'out_object' ELSE 'out_data' END direction, p, o other, o_dtype FROM tw JOIN t ON t.s = tw.twin UNION SELECT uri, 'in_object', p, s, NULL FROM tw JOIN t ON t.o = tw.twin AND o_kind = 'iri')""", recursive=True)
         + "SELECT st.uri, dt.o \"type\", direction, st.p property, other FROM st JOIN dt ON dt.s = st.uri JOIN fit ON fit.ty = dt.o AND fit.p = st.p",
-        "context_provenance": _w(_T, _TY, _CLO, _ENT, _SAMESET, _DIRECT, recursive=True) + f"""SELECT uri, coalesce((SELECT string_agg(DISTINCT o, '|' ORDER BY o) FROM tw JOIN t ON t.s = tw.twin AND t.p = {_CHUNK} WHERE tw.uri = en.uri), '') chunk_ids,
+        "context_provenance": _w(_T, _TY, _CLO, _NODES, _SAMESET, _DIRECT, recursive=True) + f"""SELECT uri, coalesce((SELECT string_agg(DISTINCT o, '|' ORDER BY o) FROM tw JOIN t ON t.s = tw.twin AND t.p = {_CHUNK} WHERE tw.uri = en.uri), '') chunk_ids,
  coalesce((SELECT string_agg(DISTINCT {_READ('o')}, '|' ORDER BY {_READ('o')}) FROM dt WHERE dt.s = en.uri), '') types FROM en""",
-        "context_class_descriptions": _w(_T, _ENT, _SAMESET, recursive=True) + f"SELECT DISTINCT uri, {_READ('t.o')} \"class\", (SELECT min(o) FROM t q WHERE q.s = t.o AND q.p = {_COM}) description FROM tw JOIN t ON t.s = tw.twin AND t.p = {_TYPE}",
-        "context_property_descriptions": _w(_T, _ENT, _SAMESET, recursive=True) + f"""SELECT DISTINCT uri, {_READ('x.p')} property, (SELECT min(o) FROM t q WHERE q.s = x.p AND q.p = {_COM}) description,
+        "context_class_descriptions": _w(_T, _NODES, _SAMESET, recursive=True) + f"SELECT DISTINCT uri, {_READ('t.o')} \"class\", (SELECT min(o) FROM t q WHERE q.s = t.o AND q.p = {_COM}) description FROM tw JOIN t ON t.s = tw.twin AND t.p = {_TYPE}",
+        "context_property_descriptions": _w(_T, _NODES, _SAMESET, recursive=True) + f"""SELECT DISTINCT uri, {_READ('x.p')} property, (SELECT min(o) FROM t q WHERE q.s = x.p AND q.p = {_COM}) description,
  coalesce((SELECT string_agg(DISTINCT {_READ('o')}, '|' ORDER BY {_READ('o')}) FROM t q WHERE q.s = x.p AND q.p = {_DOM}), '') domains, coalesce((SELECT string_agg(DISTINCT {_READ('o')}, '|' ORDER BY {_READ('o')}) FROM t q WHERE q.s = x.p AND q.p = {_RNG}), '') ranges
  FROM (SELECT DISTINCT uri, t.p FROM tw JOIN t ON t.s = tw.twin WHERE t.p IN (SELECT s FROM t WHERE p = {_TYPE} AND o = {_OP})) x""",
-        "context_members": _w(_T, f"cl AS (SELECT DISTINCT {_n('class')} c FROM tbox_classes WHERE chunk_ids[1] % 50 = 0)") + f"""SELECT c AS "label", coalesce((SELECT string_agg(DISTINCT {_READ('s')}, '|' ORDER BY {_READ('s')}) FROM t WHERE p = {_TYPE} AND o = {_X}(c)), '') members,
+        "context_members": _w(_T, "cl AS (SELECT DISTINCT c FROM c0)") + f"""SELECT c AS "label", coalesce((SELECT string_agg(DISTINCT {_READ('s')}, '|' ORDER BY {_READ('s')}) FROM t WHERE p = {_TYPE} AND o = {_X}(c)), '') members,
  coalesce((SELECT string_agg(DISTINCT {_READ('o')}, '|' ORDER BY {_READ('o')}) FROM t WHERE p = {_SUB} AND s = {_X}(c)), '') "direct" FROM cl WHERE c IS NOT NULL""",
-        "context_by_question_type": _w(_T, _ENT, "q AS (SELECT unnest(['definition', 'taxonomic', 'capability', 'property', 'existential', 'membership', 'comparative', 'quantification', 'other']) question_type)")
+        "context_by_question_type": _w(_T, _NODES, "q AS (SELECT unnest(['definition', 'taxonomic', 'capability', 'property', 'existential', 'membership', 'comparative', 'quantification', 'other']) question_type)")
         + "SELECT uri, question_type, CASE WHEN question_type = 'other' THEN 'unknown question type' ELSE 'ok' END status, question_type IN ('membership', 'quantification') members, question_type IN ('comparative', 'quantification') chunk_id FROM en, q",
         "name_similarity": _w(f"""nm AS (SELECT DISTINCT {_n('individual')} n FROM abox WHERE type = 'ClassAssertion'), na AS (SELECT n FROM nm WHERE n IS NOT NULL),
  ws AS (SELECT n, regexp_extract_all(lower(n), '[\\p{{L}}\\p{{N}}_]+') w FROM na),

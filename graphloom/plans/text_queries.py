@@ -289,11 +289,15 @@ _D = "WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL)"
 _BLK = _D + r""", b0 AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '(?m)[ \t]+$', '', 'g'), '\n(?:[ \t]*\n)+'), lambda x: trim(x, e'\n \t')), lambda x: x <> '') l FROM d),
  bl AS (SELECT doc_id, i - 1 block_no, l[i] block FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) i FROM b0))"""
 _SQL_TYPES = ", ".join(f"'{t}'" for t in qs.ANSWER_FORMS)
+def _first(x: str) -> str:
+    """An object as it is, of a list the first object in it."""
+    return f"CASE json_type({x}) WHEN 'OBJECT' THEN {x} WHEN 'ARRAY' THEN list_filter(({x})::JSON[], lambda v: json_type(v) = 'OBJECT')[1] END"
+
+
 #: The logs' parts, as _logs gives them.
-_L = _P2 + f""", lg AS (SELECT log_id, j->>'input' input, CASE WHEN json_type(j->'resolved_question_type') = 'OBJECT' THEN j->'resolved_question_type'->>'question_type' END question_type,
- CASE WHEN json_type(j->'resolved_answer_form') = 'OBJECT' THEN j->'resolved_answer_form'->>'answer_form' END answer_form, CASE WHEN json_type(j->'generated_answer') = 'OBJECT' THEN j->'generated_answer'->>'answer' END answer,
- CASE WHEN json_type(j->'extracted_entity') = 'OBJECT' THEN j->'extracted_entity'->>'primary_entity' END entity,
- CASE WHEN json_type(j->'full_context') = 'ARRAY' THEN j->'full_context'->0->'entity_context' ELSE j->'full_context'->'entity_context' END ec, regexp_extract(log_id, '([0-9]+)$', 1)::INT n FROM logs),
+_L = _P2 + f""", l0 AS (SELECT log_id, j->>'input' input, {_first("j->'resolved_question_type'")} rq, {_first("j->'resolved_answer_form'")} ra, {_first("j->'generated_answer'")} ga, {_first("j->'extracted_entity'")} ee,
+  {_first("j->'full_context'")} fc, regexp_extract(log_id, '([0-9]+)$', 1)::INT n FROM logs),
+ lg AS (SELECT log_id, input, n, rq->>'question_type' question_type, ra->>'answer_form' answer_form, ga->>'answer' answer, ee->>'primary_entity' entity, {_first("fc->'entity_context'")} ec FROM l0),
  lx AS (SELECT *, CASE WHEN json_type(ec->'types') = 'ARRAY' THEN (ec->'types')::VARCHAR[] END types, list_transform(flatten(list_transform(json_keys(ec->'superclasses'), lambda k: json_extract(ec->'superclasses', '$."' || k || '"')::VARCHAR[])), lambda x: x) supers,
  CASE WHEN trim(lower(question_type)) IN ({_SQL_TYPES}) THEN trim(lower(question_type)) ELSE 'unknown' END qt FROM lg)
 """
@@ -317,7 +321,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "text_keys": _C + r""" SELECT chunk_id, regexp_replace(trim(lower(page_title)), 's$', '') entity_key, lower(regexp_replace(page_title, '[^a-zA-Z0-9]+', '', 'g')) name_key, coalesce(array_to_string(regexp_extract_all(lower(page_title), '[a-z]+'), ' '), '') tokens,
  trim(regexp_replace(lower(page_title), '\s+', ' ', 'g')) squashed, trim(regexp_replace(regexp_replace(lower(page_title), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) grader FROM c""",
-        "uri_roundtrip": r"SELECT doc_id, url_encode(concat_ws(' ', coalesce(source, ''), split_part(text, chr(10), 1))) encoded, concat_ws(' ', coalesce(source, ''), split_part(text, chr(10), 1)) decoded FROM documents",
+        "uri_roundtrip": r"SELECT doc_id, url_encode(concat_ws(' ', coalesce(source, ''), text)) encoded, concat_ws(' ', coalesce(source, ''), text) decoded FROM documents",
         "token_counts": _C + r" SELECT chunk_id, len(regexp_extract_all(chunk_text_clean, '[^ \t\n\x0b\f\r]+'))::INT tokens FROM c",
         "text_ngrams": _D + r""", w AS (SELECT doc_id, regexp_extract_all(lower(text), '[^ \t\n\x0b\f\r]+') w FROM d), g AS (SELECT doc_id, array_to_string(w[i:i + 3], ' ') gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) i FROM w))
  SELECT gram, count(DISTINCT doc_id) docs FROM g GROUP BY gram HAVING count(DISTINCT doc_id) > 1""",

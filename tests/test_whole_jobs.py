@@ -3,14 +3,12 @@
 import json
 from urllib.parse import quote
 
-import pytest
-from oracle import SMALL, rows_of, sql_rows
+from oracle import SMALL
 
 from graphloom.operators import resolve as rs
-from graphloom.operators import triples as tr
-from graphloom.plans import catalogue, kb_queries
+from graphloom.plans import catalogue
 
-QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
+QUERIES = catalogue.queries()
 
 
 def test_scoped_classes_of_late_chunks(spark, tmp_path):
@@ -20,22 +18,6 @@ def test_scoped_classes_of_late_chunks(spark, tmp_path):
     assert sorted(r["class"] for r in rs.scoped_classes(df, 5000).collect()) == ["A", "B"]
 
 
-def for_all_nodes(sql):
-    """The SQL over all individuals and classes in place of the query set of searches, and over all classes."""
-    en = f"en AS (SELECT DISTINCT s uri FROM t WHERE p = '{tr.RDF_TYPE}' AND o IN ('{tr.CLASS}', '{tr.INDIVIDUAL}'))"
-    some = f"cl AS (SELECT DISTINCT {kb_queries._n('class')} c FROM tbox_classes WHERE chunk_ids[1] % 50 = 0)"
-    assert kb_queries._ENT in sql or some in sql
-    return sql.replace(kb_queries._ENT, en).replace(some, "cl AS (SELECT DISTINCT c FROM c0)")
-
-
-@pytest.mark.parametrize("name", ["kb_entity_axioms", "context_members", "context_properties", "context_provenance", "context_class_descriptions", "context_property_descriptions", "context_by_question_type"])
-def test_all_nodes(spark, name):
-    got, cols = rows_of(QUERIES[name](spark, SMALL))
-    want, names = sql_rows(for_all_nodes(SQL[name]))
-    assert cols == names
-    assert got == want
-
-
 def test_counts_of_all_contexts(spark):
     nodes = {r["node"] for r in QUERIES["kb_node_kinds"](spark, SMALL).where("kind in ('class', 'individual')").collect()}
     assert {r["uri"] for r in QUERIES["context_counts"](spark, SMALL).collect()} == nodes
