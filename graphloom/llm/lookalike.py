@@ -1,7 +1,7 @@
 """Texts that look the same into one form.
 
 After compatibility normalization and deletion of ignorable characters, every token is a lattice: each
-letter may stand for its look-alikes in the Latin, Cyrillic and Greek scripts. A Viterbi search finds
+letter may stand for its look-alikes in the Latin, Cyrillic, Greek, Armenian and Cherokee scripts. A Viterbi search finds
 the most likely reading under character bigrams of each script, counted over the whole corpus, with a
 penalty for a change of script within the token. The lattice and the text's script, which is told by
 letters without look-alikes, are the same for texts that look the same, and a reading holds one letter
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -23,13 +24,16 @@ from pyspark.sql import functions as F
 
 from ..common import cut
 
-#: Letters that look the same: Latin, Cyrillic, Greek; '-' where a script has none (fixed values).
+#: Letters that look the same: Latin, Cyrillic, Greek, Armenian, Cherokee; '-' where a script has none (fixed
+#: values, from the published Unicode table of confusable characters).
 CLASSES = """
-A А Α|B В Β|C С Ϲ|E Е Ε|H Н Η|I І Ι|J Ј Ϳ|K К Κ|M М Μ|N - Ν|O О Ο|P Р Ρ|S Ѕ -|T Т Τ|X Х Χ|Y Ү Υ|Z - Ζ|Q Ԛ -|W Ԝ -|G Ԍ -
-a а -|c с ϲ|d ԁ -|e е -|h һ -|i і -|j ј ϳ|o о ο|p р -|q ԛ -|s ѕ -|w ԝ -|x х -|y у -|v ѵ ν|l ӏ -
-- Г Γ|- П Π|- Ф Φ
+A А Α - Ꭺ|B В Β - Ᏼ|C С Ϲ - Ꮯ|D - - - Ꭰ|E Е Ε - Ꭼ|G Ԍ - - Ꮐ|H Н Η - Ꮋ|I І Ι - -|J Ј Ϳ - Ꭻ|K К Κ - Ꮶ|L - - - Ꮮ|M М Μ - Ꮇ
+N - Ν - -|O О Ο Օ -|P Р Ρ - Ꮲ|Q Ԛ - - -|R - - - Ꭱ|S Ѕ - Տ Ꮪ|T Т Τ - Ꭲ|V - - - Ꮩ|W Ԝ - - Ꮃ|X Х Χ - -|Y Ү Υ - -|Z - Ζ - Ꮓ
+a а - - -|c с ϲ - -|d ԁ - - -|e е - - -|g - - ց -|h һ - հ -|i і - - -|j ј ϳ յ -|l ӏ - - -|n - - ո -|o о ο օ -|p р - - -
+q ԛ - զ -|s ѕ - - -|u - - ս -|v ѵ ν - -|w ԝ - - -|x х - - -|y у - - -
+- Г Γ - -|- П Π - -|- Ф Φ - -
 """
-SCRIPTS = ("latin", "cyrillic", "greek")
+SCRIPTS = ("latin", "cyrillic", "greek", "armenian", "cherokee")
 #: Hyphens that look like the plain one.
 HYPHENS = "\u2010\u2011"
 #: Compatibility mappings of these kinds look like their plain text; super- and subscripts, circled
@@ -38,10 +42,12 @@ SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<compat>", "<isolated>", "<init
 
 _IGNORABLE = regex.compile(r"[\p{Default_Ignorable_Code_Point}\p{Cf}--[\p{Prepended_Concatenation_Mark}]]", flags=regex.V1)
 _BLANK = regex.compile(r"\p{Zs}")
-_COMPAT = regex.compile(r"[^\x00-\x7f]")
-_TOKEN = regex.compile(r"[\p{L}\p{M}]+")
+_TOKEN = regex.compile(r"([\p{L}\p{M}]+)")
+_ASCII_TOKEN = re.compile(r"([A-Za-z]+)")
 SWITCH = -12.0
 CONTEXT = 4.0
+#: Code points from here on belong to none of the scripts.
+_END = 0x2000
 
 
 def lattice_table() -> tuple[dict[str, str], dict[str, tuple[str | None, ...]]]:
@@ -58,32 +64,72 @@ def lattice_table() -> tuple[dict[str, str], dict[str, tuple[str | None, ...]]]:
 
 
 REP, LETTERS = lattice_table()
-_REP_TABLE = {ord(k): v for k, v in REP.items() if k != v} | {ord(h): "-" for h in HYPHENS}
 
 
-def _plain_letter(m: regex.Match) -> str:
-    c = m.group()
-    d = unicodedata.decomposition(c)
-    if d[:1] == "<" and d.split(" ", 1)[0] in SAME_LOOK:
-        return unicodedata.normalize("NFKD", c)
-    return c
+def _plain(c: str) -> str:
+    kind = unicodedata.decomposition(c).split(" ", 1)[0]
+    return unicodedata.normalize("NFKD", c) if kind in SAME_LOOK else c
+
+
+class _Looks(dict):
+    """Code point to what a reader sees of it: nothing for ignorable ones, a blank for blanks, plain letters for
+    compatibility forms, the representative for letters with look-alikes. Each is worked out once."""
+
+    def __missing__(self, n: int) -> str:
+        out = ""
+        for c in "".join(map(_plain, unicodedata.normalize("NFD", chr(n)))):
+            if not _IGNORABLE.match(c):
+                out += " " if _BLANK.match(c) else "-" if c in HYPHENS else REP.get(c, c)
+        self[n] = out = "" if _IGNORABLE.match(chr(n)) else out
+        return out
+
+
+_LOOKS = _Looks()
 
 
 def lattice_text(text: str) -> str:
     """The text with each letter class at its representative: what a reader sees."""
-    if text.isascii():
-        return text
-    s = _IGNORABLE.sub("", text)
-    s = _COMPAT.sub(_plain_letter, unicodedata.normalize("NFD", s))
-    return _BLANK.sub(" ", unicodedata.normalize("NFD", s)).translate(_REP_TABLE)
+    return text if text.isascii() else unicodedata.normalize("NFD", text.translate(_LOOKS))
 
 
 def script_of(c: str) -> int:
-    """0 Latin, 1 Cyrillic, 2 Greek, -1 other."""
+    """The letter's place in ``SCRIPTS``, -1 for other characters."""
     n = ord(c)
     if n < 0x250 or 0x1E00 <= n < 0x1F00:
         return 0 if c.isalpha() else -1
-    return 1 if 0x400 <= n < 0x530 else 2 if 0x370 <= n < 0x400 or 0x1F00 <= n < 0x2000 else -1
+    for k, spans in enumerate((((0x400, 0x530),), ((0x370, 0x400), (0x1F00, 0x2000)), ((0x530, 0x590),), ((0x13A0, 0x1400),)), 1):
+        if any(a <= n < b for a, b in spans):
+            return k
+    return -1
+
+
+#: Script of each code point, and the same without the letters that have look-alikes.
+_KIND = np.array([script_of(chr(n)) for n in range(_END)] + [-1], dtype=np.int8)
+_OWN = np.where([chr(n) in LETTERS for n in range(_END)] + [True], -1, _KIND)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), _END)
+
+
+def context_of(lattice: str) -> int:
+    """The script with the most letters that no other script has; the earlier one of ties."""
+    if lattice.isascii() or max(lattice) < "\u0370":
+        return 0
+    return int(np.argmax(np.bincount(_OWN[_codes(lattice)] + 1, minlength=len(SCRIPTS) + 1)[1:]))
+
+
+class _Readings(dict):
+    """Readings of lattice tokens in one context; forgets all when there are too many."""
+
+    def __init__(self, reader: Reader, context: int, memory: int) -> None:
+        self.reader, self.context, self.memory = reader, context, memory
+
+    def __missing__(self, token: str) -> str:
+        if len(self) >= self.memory:
+            self.clear()
+        self[token] = out = self.reader.read(token, self.context)
+        return out
 
 
 class Reader:
@@ -91,13 +137,10 @@ class Reader:
 
     def __init__(self, bigrams: dict[str, float], memory: int = 200_000) -> None:
         self.bigrams, self.floor = bigrams, min(bigrams.values(), default=-10.0) - 1.0
-        self.seen: dict[tuple[str, int], str] = {}
-        self.memory = memory
+        self.seen = [_Readings(self, k, memory) for k in range(len(SCRIPTS))]
 
     def read(self, token: str, context: int) -> str:
         """The best reading; ties go to the earlier script."""
-        if (token, context) in self.seen:
-            return self.seen[token, context]
         states: dict[int, tuple[float, str, str]] = {-1: (0.0, "^", "")}  # script: score, last letter, reading
         for c in token:
             options = [(s, x) for s, x in enumerate(LETTERS[c]) if x] if c in LETTERS else [(script_of(c), c)]
@@ -113,22 +156,15 @@ class Reader:
                 )
                 new[s] = (best[0], x, best[2] + x)
             states = new
-        out = max(((v, -s, o) for s, (v, _, o) in states.items()), key=lambda t: t[:2])[2]
-        if len(self.seen) >= self.memory:
-            self.seen.clear()
-        self.seen[token, context] = out
-        return out
+        return max(((v, -s, o) for s, (v, _, o) in states.items()), key=lambda t: t[:2])[2]
 
     def form(self, text: str) -> str:
         """The text in its one form, composed (NFC)."""
         s = lattice_text(text)
-        votes = [0, 0, 0]
-        for token in _TOKEN.findall(s):
-            for k in {script_of(c) for c in token if c not in LETTERS}:
-                if k >= 0:
-                    votes[k] += 1
-        context = max(range(3), key=lambda k: (votes[k], -k))
-        return unicodedata.normalize("NFC", _TOKEN.sub(lambda m: self.read(m.group(), context), s))
+        known = self.seen[context_of(s)]
+        parts = (_ASCII_TOKEN if s.isascii() else _TOKEN).split(s)  # tokens stand at the odd places
+        parts[1::2] = [known[t] for t in parts[1::2]]
+        return unicodedata.normalize("NFC", "".join(parts))
 
 
 def bigram_counts(docs: DataFrame, text: str) -> DataFrame:
@@ -137,22 +173,19 @@ def bigram_counts(docs: DataFrame, text: str) -> DataFrame:
     Counted with numpy in each batch and summed; the result is bounded by the squares of the alphabets.
     """
 
+    letters = np.concatenate([[ord("^")], np.flatnonzero(_KIND >= 0)])
+    place = np.zeros(_END + 1, dtype=np.int32)
+    place[letters[1:]] = np.arange(1, len(letters))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kind = np.full(0x530, -1, dtype=np.int8)
-        for n in range(0x530):
-            kind[n] = script_of(chr(n))
         for batch in batches:
-            joined = "\n".join(t for t in batch["t"] if t)
-            codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-            scripts = kind[np.minimum(codes, 0x52F)]
-            scripts[codes > 0x52F] = -1
-            a, b = codes[:-1].astype(np.int64), codes[1:].astype(np.int64)
+            codes = _codes("\n".join(t for t in batch["t"] if t))
+            scripts, at = _KIND[codes], place[codes]
             inside = (scripts[1:] >= 0) & ((scripts[:-1] == scripts[1:]) | (scripts[:-1] < 0))
-            a = np.where(scripts[:-1] < 0, ord("^"), a)
-            keys, n = np.unique((a << 21 | b)[inside], return_counts=True)
-            if not len(keys):
-                continue
-            yield pd.DataFrame({"pair": [chr(k >> 21) + chr(k & 0x1FFFFF) for k in keys.tolist()], "n": n.astype(np.int64)})
+            n = np.bincount(at[:-1][inside] * len(letters) + at[1:][inside])  # all others are at place 0, as '^'
+            hit = np.flatnonzero(n)
+            if len(hit):
+                yield pd.DataFrame({"pair": [chr(a) + chr(b) for a, b in zip(letters[hit // len(letters)], letters[hit % len(letters)])], "n": n[hit].astype(np.int64)})
 
     return docs.select(F.col(text).alias("t")).mapInPandas(run, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
 
@@ -192,7 +225,7 @@ def classes(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     ``class_id`` is the smallest key of the class, ``texts`` its number of different texts.
     """
-    rows = cut(same_form(docs.where(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")) != ""), key, text, False).drop("form"), "forms")
+    rows = cut(same_form(docs.where(F.regexp_like(text, F.lit(r"(?U)\S"))), key, text, False).drop("form"), "forms")
     many = rows.groupBy("form_hash", "text_hash").agg(F.min(key).alias("low"), F.count(F.lit(1)).alias("n"))
     many = many.groupBy("form_hash").agg(F.min("low").alias("class_id"), F.count(F.lit(1)).alias("texts"), F.sum("n").alias("members")).where("texts > 1")
     return rows.join(many, "form_hash").select(key, "class_id", "texts", "members", "form_hash", "text_hash")

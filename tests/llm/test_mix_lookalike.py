@@ -26,6 +26,7 @@ def test_forms_by_script():
     mixed = russian.replace("с", "c").replace("о", "o")
     assert r.form(russian) == r.form(mixed) == russian
     assert r.form("The cop оpened a dооr.") == "The cop opened a door."
+    assert r.form("Տօft ᎢᎬᎪ ҽ") == "Soft TEA ҽ"  # Armenian and Cherokee letters
     assert r.form("™ ① ² ½") == "™ ① ² ½" and r.form("ﬁ µ K …") == "fi μ K ..."
 
 
@@ -35,7 +36,7 @@ def test_forms_are_equal_only_if_lattices_are():
     words = ["сор", "cop", "сoр", "соr", "сур", "ТОР", "TOP", "ΤΟΡ", "моp", "дом", "Αа", "x́", "ё", "e\u0308", "е\u0308"]
     by_form, by_lattice = defaultdict(set), defaultdict(set)
     for w in words:
-        for ctx in range(3):
+        for ctx in range(5):
             s = lattice_text(w)
             by_form[ctx, unicodedata.normalize("NFC", r.read(s, ctx))].add(w)
             by_lattice[ctx, s].add(w)
