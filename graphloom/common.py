@@ -55,11 +55,17 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
 
 def cut_counted(df: DataFrame, label: str = "cut") -> tuple[DataFrame, int]:
     """``cut`` with the number of rows, observed while writing."""
+    out, seen = cut_observed(df, label, n=F.count(F.lit(1)))
+    return out, int(seen["n"])
+
+
+def cut_observed(df: DataFrame, label: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """``cut`` with aggregates of the rows, observed while writing."""
     spark, path, seen = df.sparkSession, scratch_path(df.sparkSession, label), Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    df.observe(seen, *[c.alias(k) for k, c in measures.items()]).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
-    return out, int(seen.get["n"])
+    return out, seen.get
 
 
 def stack(cuts: list[DataFrame]) -> DataFrame:

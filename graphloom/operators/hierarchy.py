@@ -1,10 +1,11 @@
 """Parent-child links to full hierarchies: roots, depths, paths, descendants and cycles.
 
-Bottom-up peeling: each round removes all leaves (nodes without children) and, so that the number of
-rounds follows the logarithm of the size and not the height, also an independent set of the nodes that
-have one parent and one child, whose two links become one longer link. The rounds are undone in reverse
-order: a node's roots, depths and paths come from the parents that it had when it was removed. What
-cannot be peeled contains cycles; only that residue is searched for strongly connected components.
+Bottom-up peeling: each round removes all leaves (nodes without children) and also an independent set of the
+nodes that have one parent and one child, whose two links become one longer link. So trees and chains take
+rounds after the logarithm of their size, however high they are; where every inner node has several parents
+and children, as in a ladder, a round takes one level. The rounds are undone in reverse order: a node's roots,
+depths and paths come from the parents that it had when it was removed. What cannot be peeled contains
+cycles; only that residue is searched for strongly connected components.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..common import cut, cut_counted, stack
+from ..common import cut, cut_counted, cut_observed, drop_cut, stack
 from .ids import number_names
 
 
@@ -56,37 +57,32 @@ def _choose(edges: DataFrame, rnd: int) -> DataFrame:
     return leaves.unionByName(line)
 
 
-def _joined() -> Column:
-    return F.concat(F.col("up.seg"), F.array("v"), F.col("down.seg"))
-
-
-def _remove(edges: DataFrame, gone: DataFrame) -> DataFrame:
+def _remove(edges: DataFrame, gone: DataFrame, paths: bool) -> DataFrame:
     """The edges after the round: links of removed nodes leave, bridged links come in."""
+    joined = F.concat(F.col("up.seg"), F.array("v"), F.col("down.seg")) if paths else F.col("up.seg")
     left = edges.join(gone.select(F.col("v").alias("c")), "c", "left_anti")
     left = left.join(gone.where("up is not null").select(F.col("v").alias("p")), "p", "left_anti").select("p", "c", "w", "seg")
     bridged = gone.where("up is not null and up.p <> down.c").select(
-        F.col("up.p").alias("p"), F.col("down.c").alias("c"), (F.col("up.w") + F.col("down.w")).alias("w"), _joined().alias("seg")
+        F.col("up.p").alias("p"), F.col("down.c").alias("c"), (F.col("up.w") + F.col("down.w")).alias("w"), joined.alias("seg")
     )
     return left.unionByName(bridged).groupBy("p", "c").agg(_best()).select("p", "c", "l.w", "l.seg")
 
 
-def _relax(known: DataFrame, edges: DataFrame) -> DataFrame:
+def _relax(known: DataFrame, edges: DataFrame, paths: bool) -> DataFrame:
     """Candidates for the children of ``known(v, root, d, path)``."""
-    return known.join(edges, known["v"] == edges["p"]).select(
-        F.col("c").alias("v"), "root", (F.col("d") + F.col("w")).alias("d"),
-        F.concat("path", "seg", F.array("c")).alias("path"),
-    )
+    path = F.concat("path", "seg", F.array("c")) if paths else F.col("path")
+    return known.join(edges, known["v"] == edges["p"]).select(F.col("c").alias("v"), "root", (F.col("d") + F.col("w")).alias("d"), path.alias("path"))
 
 
 def _shortest(rows: DataFrame) -> DataFrame:
     return rows.groupBy("v", "root").agg(F.min(F.struct("d", "path")).alias("m")).select("v", "root", "m.d", "m.path")
 
 
-def _core_roots(core: DataFrame, start: DataFrame) -> DataFrame:
+def _core_roots(core: DataFrame, start: DataFrame, paths: bool) -> DataFrame:
     """Shortest links from the roots inside the residue: frontier search, cycle-safe."""
     known, frontier = start, start
     while True:
-        step = _shortest(_relax(frontier, core))
+        step = _shortest(_relax(frontier, core, paths))
         old = known.select("v", "root", F.col("d").alias("d0"), F.col("path").alias("path0"))
         better = step.join(old, ["v", "root"], "left").where(
             F.col("d0").isNull() | (F.struct("d", "path") < F.struct(F.col("d0").alias("d"), F.col("path0").alias("path")))
@@ -104,18 +100,17 @@ def _components_of_cycles(core: DataFrame) -> DataFrame:
     colours every node, and from each colour's namesake the nodes of that colour that reach it back are
     one component. Repeats on the rest.
     """
-    edges = cut(core.select("p", "c").distinct(), "scc")
+    edges, before = cut_counted(core.select("p", "c").distinct(), "scc")
     found: list[DataFrame] = []
     while True:
-        while True:  # trim
-            kept, n = cut_counted(
+        while before:  # trim
+            edges, n = cut_counted(
                 edges.join(edges.select(F.col("c").alias("p")).distinct(), "p", "left_semi")
                 .join(edges.select(F.col("p").alias("c")).distinct(), "c", "left_semi").select("p", "c"), "scc-trim")
-            before = edges.count()
-            edges = kept
-            if n == before:
+            done, before = n == before, n
+            if done:
                 break
-        if not edges.head(1):
+        if not before:
             return stack(found) if found else core.sparkSession.createDataFrame([], "v bigint, scc bigint")
         colour = cut(edges.select(F.col("p").alias("v")).distinct().withColumn("k", F.col("v")), "colour")
         while True:
@@ -141,55 +136,64 @@ def _components_of_cycles(core: DataFrame) -> DataFrame:
         many = reach.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
         found.append(cut(reach.join(many, "k", "left_semi").select("v", F.col("k").alias("scc")), "found"))
         done = reach.select("v")
-        edges = cut(edges.join(done.withColumnRenamed("v", "p"), "p", "left_anti").join(done.withColumnRenamed("v", "c"), "c", "left_anti").select("p", "c"), "scc")
+        edges, before = cut_counted(edges.join(done.withColumnRenamed("v", "p"), "p", "left_anti").join(done.withColumnRenamed("v", "c"), "c", "left_anti").select("p", "c"), "scc")
+
 
+def _lines_in_cycles(gone: DataFrame, scc: DataFrame) -> DataFrame:
+    """``(v, scc)`` of the bridged nodes of a round whose two neighbours are one node or lie in one component."""
+    lines = gone.where("up is not null").select("v", F.col("up.p").alias("p"), F.col("down.c").alias("c"))
+    lines = lines.join(scc.select(F.col("v").alias("p"), F.col("scc").alias("sp")), "p", "left")
+    lines = lines.join(scc.select(F.col("v").alias("c"), F.col("scc").alias("sc")), "c", "left")
+    inside = lines.where("p = c or sp = sc").select("v", "p", "sp")
+    own = inside.select("v", F.coalesce("sp", "p").alias("scc"))
+    return own.unionByName(inside.where("sp is null").select(F.col("p").alias("v"), F.col("p").alias("scc"))).distinct()
 
-def hierarchy(nodes: DataFrame, links: DataFrame) -> Hierarchy:
+
+def hierarchy(nodes: DataFrame, links: DataFrame, paths: bool = True) -> Hierarchy:
     """``nodes(node)`` and ``links(node, parent)`` into roots, depths, paths and cycles.
 
     A parent without a row among the nodes does not count; a root is a node without parents. For every
     node and each root that it reaches upward there is one row with the smallest number of steps and the
-    path from root to node (among equally short paths the first by the names on it). ``trapped`` names
-    the nodes on a cycle, own parent included, and those that reach no root. Nulls are no nodes and no
-    parents, repeated rows count once, an empty input gives two empty results.
+    path from root to node (among equally short paths the first by the names on it; empty without ``paths``,
+    which spares carrying them). ``trapped`` names the nodes on a cycle, own parent included, and those that
+    reach no root. Nulls are no nodes and no parents, repeated rows count once, an empty input gives two
+    empty results.
     """
     ids = number_names(nodes.select("node"), ["node"], "nodes")
     pairs = links.select(F.col("node").alias("cn"), F.col("parent").alias("pn")).dropna().distinct()
     pairs = pairs.join(ids.select(F.col("node").alias("cn"), F.col("id").alias("c")), "cn")
     pairs = cut(pairs.join(ids.select(F.col("node").alias("pn"), F.col("id").alias("p")), "pn").select("p", "c"), "links")
     own_parent = pairs.where("p = c").select(F.col("p").alias("v"))
-    edges = cut(pairs.where("p <> c").select("p", "c", F.lit(1).cast("bigint").alias("w"), F.expr("cast(array() as array<bigint>)").alias("seg")), "edges")
+    none = F.expr("cast(array() as array<bigint>)")
+    edges, left = cut_counted(pairs.where("p <> c").select("p", "c", F.lit(1).cast("bigint").alias("w"), none.alias("seg")), "edges")
 
-    rounds: list[tuple[DataFrame, DataFrame]] = []
-    while True:
-        gone, n = cut_counted(_choose(edges, len(rounds)), "peeled")
-        if not n:
+    rounds: list[tuple[DataFrame, DataFrame, int, int]] = []
+    while left:
+        gone, seen = cut_observed(_choose(edges, len(rounds)), "peeled", n=F.count(F.lit(1)), lines=F.count("up"), closed=F.count_if(F.col("up.p") == F.col("down.c")))
+        if not seen["n"]:
             break
-        rounds.append((edges, gone))
-        edges = cut(_remove(edges, gone), "edges")
+        rounds.append((edges, gone, seen["lines"], seen["closed"]))
+        edges, left = cut_counted(_remove(edges, gone, paths), "edges")
 
     # roots have no parent at all, self-links included
     has_parent = pairs.select(F.col("c").alias("id")).distinct()
     start = ids.join(has_parent, "id", "left_anti").select(
-        F.col("id").alias("v"), F.col("id").alias("root"), F.lit(0).cast("bigint").alias("d"), F.array("id").alias("path"))
+        F.col("id").alias("v"), F.col("id").alias("root"), F.lit(0).cast("bigint").alias("d"), (F.array("id") if paths else none).alias("path"))
     start = cut(start, "roots")
-    known = [_core_roots(edges, start)] if edges.head(1) else [start]
+    known = [_core_roots(edges, start, paths)] if left else [start]
     comps = [cut(_components_of_cycles(edges), "sccs")]
-    for at, gone in reversed(rounds):
-        dist = stack(known)
+    cyclic = left > 0
+    for at, gone, lines, closed in reversed(rounds):
         into = at.join(gone.where("up is null").select(F.col("v").alias("c")), "c", "left_semi").select("p", "c", "w", "seg")
-        into = into.unionByName(gone.where("up is not null").select(F.col("up.p").alias("p"), F.col("v").alias("c"), F.col("up.w").alias("w"), F.col("up.seg").alias("seg")))
-        known.append(cut(_shortest(_relax(dist, into)), "roots"))
-        scc = stack(comps)
-        lines = gone.where("up is not null").select("v", F.col("up.p").alias("p"), F.col("down.c").alias("c"))
-        lines = lines.join(scc.select(F.col("v").alias("p"), F.col("scc").alias("sp")), "p", "left")
-        lines = lines.join(scc.select(F.col("v").alias("c"), F.col("scc").alias("sc")), "c", "left")
-        inside = lines.where("p = c or sp = sc").select("v", "p", "sp")
-        rows, n = cut_counted(
-            inside.select("v", F.coalesce("sp", "p").alias("scc"))
-            .unionByName(inside.where("sp is null").select(F.col("p").alias("v"), F.col("p").alias("scc"))).distinct(), "sccs")
-        if n:
-            comps.append(rows)
+        if lines:
+            into = into.unionByName(gone.where("up is not null").select(F.col("up.p").alias("p"), F.col("v").alias("c"), F.col("up.w").alias("w"), F.col("up.seg").alias("seg")))
+        known.append(cut(_shortest(_relax(stack(known), into, paths)), "roots"))
+        if closed or (lines and cyclic):
+            rows, n = cut_counted(_lines_in_cycles(gone, stack(comps)), "sccs")
+            if n:
+                comps.append(rows)
+                cyclic = True
+        drop_cut(at, gone)
 
     dist = stack(known)
     cyc = own_parent.unionByName(stack(comps).select("v")).distinct().withColumn("on_cycle", F.lit(True))

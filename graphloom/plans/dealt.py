@@ -68,13 +68,13 @@ def _class_links(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return rows.select("node"), links.dropna()
 
 
-def _class_hierarchy(spark: SparkSession, d: str) -> Hierarchy:
-    return hierarchy(*_class_links(spark, d))
+def _class_hierarchy(spark: SparkSession, d: str, paths: bool) -> Hierarchy:
+    return hierarchy(*_class_links(spark, d), paths)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Roots and depths of every class; classes caught in cycles or without a root have root '' and depth -1."""
-    h = _class_hierarchy(spark, d)
+    h = _class_hierarchy(spark, d, paths=False)
     rows = h.roots.select(F.col("node").alias("class"), "root", "depth")
     bad = h.trapped.select(F.col("node").alias("class"), F.lit("").alias("root"), F.lit(-1).alias("depth"))
     return rows.unionByName(bad)
@@ -82,7 +82,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_paths(spark: SparkSession, d: str) -> DataFrame:
     """The path from each root that a class reaches."""
-    return named_paths(_class_hierarchy(spark, d)).withColumnRenamed("node", "class")
+    return named_paths(_class_hierarchy(spark, d, paths=True)).withColumnRenamed("node", "class")
 
 
 def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
