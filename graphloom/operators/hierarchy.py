@@ -27,34 +27,40 @@ class Hierarchy:
     trapped: DataFrame
 
 
-def _best() -> Column:
-    """The shortest link; among equals the one whose nodes come first by id, so by name."""
-    return F.min(F.struct("w", "seg")).alias("l")
+def _least(rows: DataFrame, keys: list[str], size: str, seg: str, paths: bool) -> DataFrame:
+    """The shortest row of each key; among equals the one whose nodes come first by id, so by name."""
+    if not paths:
+        return rows.groupBy(*keys).agg(F.min(size).alias(size)).withColumn(seg, F.expr("cast(array() as array<bigint>)"))
+    return rows.groupBy(*keys).agg(F.min(F.struct(size, seg)).alias("m")).select(*keys, f"m.{size}", f"m.{seg}")
 
 
 def _rank(col: Column, rnd: int) -> Column:
     return F.struct(F.xxhash64(F.lit(rnd), col), col)
 
 
-def _choose(edges: DataFrame, rnd: int) -> DataFrame:
-    """The nodes to remove in this round: ``(v, p, c, pw, pseg, cw, cseg)``; p and c null for leaves."""
-    as_child = edges.select(F.col("c").alias("v"), F.struct("p", "w", "seg").alias("up"), F.lit(None).cast(edges.select(F.struct("c", "w", "seg")).schema[0].dataType).alias("down"))
-    as_parent = edges.select(F.col("p").alias("v"), F.lit(None).cast(edges.select(F.struct("p", "w", "seg")).schema[0].dataType).alias("up"), F.struct("c", "w", "seg").alias("down"))
-    info = as_child.unionByName(as_parent).groupBy("v").agg(
-        F.count("up").alias("np"), F.count("down").alias("nc"), F.min("up").alias("up"), F.min("down").alias("down")
-    )
-    some = cut(info.where("nc = 0 or (np = 1 and nc = 1)"), "peel-info")
-    line = some.where("nc = 1")
-    a = line.select(F.col("v").alias("a"))
-    b = some.select(F.col("v").alias("b"), (F.col("nc") == 0).alias("b_leaf"))
-    line = line.join(a, F.col("up.p") == F.col("a"), "left").join(b, F.col("down.c") == F.col("b"), "left")
+def _choose(edges: DataFrame, rnd: int, paths: bool) -> DataFrame:
+    """The nodes to remove in this round: ``(v, up(p, w, seg), down(c, w, seg))``; up and down null for leaves."""
+    long, ids = F.lit(None).cast("bigint"), F.lit(None).cast("array<bigint>")
+    as_child = edges.select(F.col("c").alias("v"), "p", F.col("w").alias("pw"), F.col("seg").alias("pseg"), long.alias("c"), long.alias("cw"), ids.alias("cseg"))
+    as_parent = edges.select(F.col("p").alias("v"), long.alias("p"), long.alias("pw"), ids.alias("pseg"), "c", F.col("w").alias("cw"), F.col("seg").alias("cseg"))
+    # of nodes with one parent and one child, the only ones whose values are used, each value is the single one
+    segs = [F.max(c).alias(c) for c in ("pseg", "cseg")] if paths else []
+    info = as_child.unionByName(as_parent).groupBy("v").agg(F.count("p").alias("np"), F.count("c").alias("nc"), *[F.min(c).alias(c) for c in ("p", "pw", "c", "cw")], *segs)
+    if not paths:
+        info = info.withColumns({c: F.expr("cast(array() as array<bigint>)") for c in ("pseg", "cseg")})
+    some = info.where("nc = 0 or (np = 1 and nc = 1)")
+    some = some.select("v", (F.col("nc") == 0).alias("leaf"), F.struct("p", F.col("pw").alias("w"), F.col("pseg").alias("seg")).alias("up"), F.struct("c", F.col("cw").alias("w"), F.col("cseg").alias("seg")).alias("down"))
+    some = cut(some, "peel-info")
+    a = some.where("not leaf").select(F.col("v").alias("a"))
+    b = some.select(F.col("v").alias("b"), F.col("leaf").alias("b_leaf"))
+    line = some.where("not leaf").join(a, F.col("up.p") == F.col("a"), "left").join(b, F.col("down.c") == F.col("b"), "left")
     own = _rank(F.col("v"), rnd)
     line = line.where(
         (F.col("a").isNull() | (own > _rank(F.col("a"), rnd)))
         & (F.col("b").isNull() | (~F.col("b_leaf") & (own > _rank(F.col("b"), rnd))))
     ).select("v", "up", "down")
-    leaves = some.where("nc = 0").select("v", F.lit(None).cast(some.schema["up"].dataType).alias("up"), F.lit(None).cast(some.schema["down"].dataType).alias("down"))
-    return leaves.unionByName(line)
+    nothing = lambda c: F.lit(None).cast(some.schema[c].dataType).alias(c)
+    return some.where("leaf").select("v", nothing("up"), nothing("down")).unionByName(line)
 
 
 def _remove(edges: DataFrame, gone: DataFrame, paths: bool) -> DataFrame:
@@ -65,7 +71,7 @@ def _remove(edges: DataFrame, gone: DataFrame, paths: bool) -> DataFrame:
     bridged = gone.where("up is not null and up.p <> down.c").select(
         F.col("up.p").alias("p"), F.col("down.c").alias("c"), (F.col("up.w") + F.col("down.w")).alias("w"), joined.alias("seg")
     )
-    return left.unionByName(bridged).groupBy("p", "c").agg(_best()).select("p", "c", "l.w", "l.seg")
+    return _least(left.unionByName(bridged), ["p", "c"], "w", "seg", paths)
 
 
 def _relax(known: DataFrame, edges: DataFrame, paths: bool) -> DataFrame:
@@ -74,15 +80,15 @@ def _relax(known: DataFrame, edges: DataFrame, paths: bool) -> DataFrame:
     return known.join(edges, known["v"] == edges["p"]).select(F.col("c").alias("v"), "root", (F.col("d") + F.col("w")).alias("d"), path.alias("path"))
 
 
-def _shortest(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("v", "root").agg(F.min(F.struct("d", "path")).alias("m")).select("v", "root", "m.d", "m.path")
+def _shortest(rows: DataFrame, paths: bool) -> DataFrame:
+    return _least(rows, ["v", "root"], "d", "path", paths)
 
 
 def _core_roots(core: DataFrame, start: DataFrame, paths: bool) -> DataFrame:
     """Shortest links from the roots inside the residue: frontier search, cycle-safe."""
     known, frontier = start, start
     while True:
-        step = _shortest(_relax(frontier, core, paths))
+        step = _shortest(_relax(frontier, core, paths), paths)
         old = known.select("v", "root", F.col("d").alias("d0"), F.col("path").alias("path0"))
         better = step.join(old, ["v", "root"], "left").where(
             F.col("d0").isNull() | (F.struct("d", "path") < F.struct(F.col("d0").alias("d"), F.col("path0").alias("path")))
@@ -90,7 +96,7 @@ def _core_roots(core: DataFrame, start: DataFrame, paths: bool) -> DataFrame:
         frontier, n = cut_counted(better.select("v", "root", "d", "path"), "frontier")
         if not n:
             return known
-        known = cut(_shortest(known.unionByName(frontier)), "core-roots")
+        known = cut(_shortest(known.unionByName(frontier), paths), "core-roots")
 
 
 def _components_of_cycles(core: DataFrame) -> DataFrame:
@@ -169,7 +175,7 @@ def hierarchy(nodes: DataFrame, links: DataFrame, paths: bool = True) -> Hierarc
 
     rounds: list[tuple[DataFrame, DataFrame, int, int]] = []
     while left:
-        gone, seen = cut_observed(_choose(edges, len(rounds)), "peeled", n=F.count(F.lit(1)), lines=F.count("up"), closed=F.count_if(F.col("up.p") == F.col("down.c")))
+        gone, seen = cut_observed(_choose(edges, len(rounds), paths), "peeled", n=F.count(F.lit(1)), lines=F.count("up"), closed=F.count_if(F.col("up.p") == F.col("down.c")))
         if not seen["n"]:
             break
         rounds.append((edges, gone, seen["lines"], seen["closed"]))
@@ -187,7 +193,7 @@ def hierarchy(nodes: DataFrame, links: DataFrame, paths: bool = True) -> Hierarc
         into = at.join(gone.where("up is null").select(F.col("v").alias("c")), "c", "left_semi").select("p", "c", "w", "seg")
         if lines:
             into = into.unionByName(gone.where("up is not null").select(F.col("up.p").alias("p"), F.col("v").alias("c"), F.col("up.w").alias("w"), F.col("up.seg").alias("seg")))
-        known.append(cut(_shortest(_relax(stack(known), into, paths)), "roots"))
+        known.append(cut(_shortest(_relax(stack(known), into, paths), paths), "roots"))
         if closed or (lines and cyclic):
             rows, n = cut_counted(_lines_in_cycles(gone, stack(comps)), "sccs")
             if n:
