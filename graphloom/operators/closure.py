@@ -5,28 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import cut, cut_counted, drop_cut
+from ..common import cut, cut_counted, cut_observed, stack
 
 
 def closure(edges: DataFrame, reflexive: bool = False) -> DataFrame:
     """Strict reachability ``(src, dst, steps)`` over ``edges(src, dst)`` with the fewest steps.
 
-    Path doubling: after round k all pairs within 2^k steps are known, so the number of rounds is the
-    logarithm of the longest shortest path; a fixpoint test makes it safe on cycles, where a node
-    reaches itself. ``reflexive`` adds every node to itself with 0 steps. Nulls are no nodes; repeated
-    edges count once.
+    Path doubling: after round k all pairs within 2^k steps are known for good. Of a longer shortest path the
+    first 2^k steps are themselves a shortest path, so only the pairs of exactly 2^k steps are joined with all,
+    and rounds add pairs without touching the known ones. On cycles a node reaches itself, and nothing new
+    ends the rounds. ``reflexive`` adds every node to itself with 0 steps. Nulls are no nodes; repeated edges
+    count once.
     """
-    pairs, n = cut_counted(edges.select("src", "dst").dropna().distinct().withColumn("steps", F.lit(1).cast("bigint")), "closure")
-    reach = 1
-    while n:
-        left = pairs.select("src", F.col("dst").alias("mid"), F.col("steps").alias("s1"))
-        right = pairs.select(F.col("src").alias("mid"), "dst", F.col("steps").alias("s2"))
-        longer = left.join(right, "mid").select("src", "dst", (F.col("s1") + F.col("s2")).alias("steps"))
-        both, m = cut_counted(pairs.unionByName(longer).groupBy("src", "dst").agg(F.min("steps").alias("steps")), "closure")
+    new, seen = cut_observed(edges.select("src", "dst").dropna().distinct().withColumn("steps", F.lit(1).cast("bigint")), "closure", longest=F.max("steps"))
+    known, reach = [new], 1
+    while seen["longest"] == reach:
+        left = new.where(F.col("steps") == reach).select("src", F.col("dst").alias("mid"))
+        right = stack(known).select(F.col("src").alias("mid"), "dst", "steps")
+        longer = left.join(right, "mid").groupBy("src", "dst").agg((F.min("steps") + reach).alias("steps"))
+        new, seen = cut_observed(longer.join(stack(known).select("src", "dst"), ["src", "dst"], "left_anti"), "closure", longest=F.max("steps"))
+        known.append(new)
         reach *= 2
-        longest = both.agg(F.max("steps")).first()[0]
-        drop_cut(pairs)
-        pairs, n = both, (m if longest >= reach else 0)
+    pairs = stack(known)
     if reflexive:
         nodes = edges.select(F.col("src").alias("v")).union(edges.select("dst")).dropna().distinct()
         own = nodes.select(F.col("v").alias("src"), F.col("v").alias("dst"), F.lit(0).cast("bigint").alias("steps"))

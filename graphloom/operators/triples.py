@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..common import cut, cut_counted, strip_name
+from ..common import cut, cut_counted, stack, strip_name
 from ..functions.text import readable, uri_fragment
 from .closure import closure
 
@@ -36,14 +36,25 @@ def iri(name: Column) -> Column:
     return F.concat(F.lit(EX), uri_fragment(name))
 
 
-def _rows(df: DataFrame, s: Column, p: Column | str, o: Column, dtype: Column | str | None = None, kind: str = "literal") -> DataFrame:
+def _triple(s: Column, p: Column | str, o: Column, dtype: Column | str | None = None, kind: str = "literal") -> Column:
     p = F.lit(p) if isinstance(p, str) else p
     d = F.lit(dtype).cast("string") if dtype is None or isinstance(dtype, str) else dtype
-    return df.select(s.alias("s"), p.alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind"), d.alias("o_dtype")).where("s is not null and p is not null and o is not null")
+    return F.struct(s.alias("s"), p.alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind"), d.alias("o_dtype"))
 
 
-def _links(df: DataFrame, s: Column, p: Column | str, o: Column) -> DataFrame:
-    return _rows(df, s, p, o, kind="iri")
+def _link(s: Column, p: Column | str, o: Column) -> Column:
+    return _triple(s, p, o, kind="iri")
+
+
+def _names(x: Column) -> Column:
+    """The names of an array, stripped; an empty array for a null one."""
+    return F.transform(F.coalesce(x, F.array().cast("array<string>")), strip_name)
+
+
+def _emit(rows: DataFrame, triples: Column) -> DataFrame:
+    """The triples of an array of each row, without those that lack a part: one scan of the table."""
+    whole = F.filter(triples, lambda t: t["s"].isNotNull() & t["p"].isNotNull() & t["o"].isNotNull())
+    return rows.select(F.inline(whole))
 
 
 def typed_literal(value: Column, datatype: Column) -> Column:
@@ -67,10 +78,12 @@ def typed_literal(value: Column, datatype: Column) -> Column:
 
 
 def class_triples(classes: DataFrame) -> DataFrame:
-    """``classes(class, description)``: type, label and comment."""
-    c = classes.select(strip_name("class").alias("c"), "description").where("c is not null")
+    """``classes(class, description[, parents])``: type, label, comment and subclass links."""
+    has = "parents" in classes.columns
+    c = classes.select(strip_name("class").alias("c"), "description", (_names(F.col("parents")) if has else _names(F.lit(None))).alias("parents")).where("c is not null")
     s = iri(F.col("c"))
-    return reduce(DataFrame.unionByName, [_links(c, s, RDF_TYPE, F.lit(CLASS)), _rows(c, s, LABEL, F.col("c")), _rows(c, s, COMMENT, F.col("description"))])
+    own = F.array(_link(s, RDF_TYPE, F.lit(CLASS)), _triple(s, LABEL, F.col("c")), _triple(s, COMMENT, F.col("description")))
+    return _emit(c, F.concat(own, F.transform("parents", lambda x: _link(s, SUBCLASS, iri(x)))))
 
 
 def axiom_triples(axioms: DataFrame) -> DataFrame:
@@ -80,65 +93,52 @@ def axiom_triples(axioms: DataFrame) -> DataFrame:
     type decides; without a type, a datatype makes it a data property. Equivalences link the first names
     on either side. Rows whose names are null or blank on one side give what the other side gives.
     """
-    a = axioms.select(*[strip_name(c).alias(c) for c in ("type", "subclass", "superclass", "domain", "property", "range", "datatype")], "description", "domains", "ranges")
+    a = axioms.select(*[strip_name(c).alias(c) for c in ("type", "subclass", "superclass", "domain", "property", "range", "datatype")], "description", _names(F.col("domains")).alias("domains"), _names(F.col("ranges")).alias("ranges"))
     described = F.coalesce(F.col("description"), F.lit("")) != ""
-    base = a.where(described & F.col("type").isNotNull() & (F.col("type") != "equivalentClass") & (F.col("type") != "SubClassOf"))
-    prop = iri(F.col("type"))
-    out = [
-        _links(base, prop, RDF_TYPE, F.lit(OBJECT_PROPERTY)), _rows(base, prop, LABEL, F.col("type")), _rows(base, prop, COMMENT, F.col("description")),
-        _links(base.select("type", F.explode("domains").alias("x")), prop, DOMAIN, iri(strip_name("x"))),
-        _links(base.select("type", F.explode("ranges").alias("x")), prop, RANGE, iri(strip_name("x"))),
-    ]
-    out.append(_links(a.where("type = 'SubClassOf'"), iri(F.col("subclass")), SUBCLASS, iri(F.col("superclass"))))
-    eq = a.where("type = 'equivalentClass'").select(strip_name(F.get("domains", F.lit(0))).alias("x"), strip_name(F.get("ranges", F.lit(0))).alias("y"))
-    out.append(_links(eq, iri(F.col("x")), EQUIVALENT, iri(F.col("y"))))
-    data = a.where("type is null and datatype is not null")
-    obj = a.where("type is null and datatype is null")
-    p = iri(F.col("property"))
-    out += [
-        _links(data, p, RDF_TYPE, F.lit(DATA_PROPERTY)), _rows(data, p, LABEL, F.col("property")), _links(data, p, DOMAIN, iri(F.col("domain"))),
-        _links(data, p, RANGE, F.concat(F.lit(XSD), F.substring_index("datatype", ":", -1))),
-        _links(obj, p, RDF_TYPE, F.lit(OBJECT_PROPERTY)), _rows(obj, p, LABEL, F.col("property")), _links(obj, p, DOMAIN, iri(F.col("domain"))), _links(obj, p, RANGE, iri(F.col("range"))),
-    ]
-    return reduce(DataFrame.unionByName, out)
+    kind, prop, is_data = iri(F.col("type")), iri(F.col("property")), F.col("datatype").isNotNull()
+    base = F.concat(
+        F.array(_link(kind, RDF_TYPE, F.lit(OBJECT_PROPERTY)), _triple(kind, LABEL, F.col("type")), _triple(kind, COMMENT, F.col("description"))),
+        F.transform("domains", lambda x: _link(kind, DOMAIN, iri(x))), F.transform("ranges", lambda x: _link(kind, RANGE, iri(x))))
+    target = F.when(is_data, F.concat(F.lit(XSD), F.substring_index("datatype", ":", -1))).otherwise(iri(F.col("range")))
+    own = F.array(
+        _link(prop, RDF_TYPE, F.when(is_data, DATA_PROPERTY).otherwise(OBJECT_PROPERTY)), _triple(prop, LABEL, F.col("property")),
+        _link(prop, DOMAIN, iri(F.col("domain"))), _link(prop, RANGE, target))
+    return _emit(a, (
+        F.when(F.col("type") == "SubClassOf", F.array(_link(iri(F.col("subclass")), SUBCLASS, iri(F.col("superclass")))))
+        .when(F.col("type") == "equivalentClass", F.array(_link(iri(F.get("domains", F.lit(0))), EQUIVALENT, iri(F.get("ranges", F.lit(0))))))
+        .when(F.col("type").isNotNull() & described, base).when(F.col("type").isNull(), own)))
+
+
+def _pairs_of(individuals: Column) -> Column:
+    """Ordered pairs of different names of an array, both directions."""
+    names = F.array_distinct(F.filter(_names(individuals), lambda x: x.isNotNull()))
+    return F.flatten(F.transform(names, lambda a: F.transform(F.filter(names, lambda b: b != a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
 
 
 def same_pairs(abox: DataFrame) -> DataFrame:
     """Ordered pairs ``(a, b)`` of different names in one SameIndividual array, both directions."""
-    g = abox.where("type = 'SameIndividual'").select(F.array_distinct(F.filter(F.transform("individuals", strip_name), lambda x: x.isNotNull())).alias("g"))
-    return g.select("g", F.explode("g").alias("a")).select("a", F.explode("g").alias("b")).where("a <> b").distinct()
+    return abox.where("type = 'SameIndividual'").select(F.inline(_pairs_of(F.col("individuals")))).distinct()
 
 
 def assertion_triples(abox: DataFrame) -> DataFrame:
     """Declarations, types, links and values, each with its chunk as provenance of the subject."""
     names = ("id", "individual", "class", "subject", "property", "object")
     a = abox.select("type", *[strip_name(c).alias(c) for c in names], "value", "datatype", "chunk_id", "individuals")
-    kind = lambda t: a.where(F.col("type") == t)
-    chunk = lambda d, c: _rows(d, iri(F.col(c)), EX + "chunk_id", F.col("chunk_id"), XSD + "integer")
-    dec, cls, obj, dat = kind("DeclareIndividual"), kind("ClassAssertion"), kind("ObjectPropertyAssertion"), kind("DataPropertyAssertion")
-    lit = dat.withColumn("l", typed_literal(F.col("value"), F.col("datatype")))
-    same = same_pairs(abox)
-    return reduce(DataFrame.unionByName, [
-        _links(dec, iri(F.col("id")), RDF_TYPE, F.lit(INDIVIDUAL)), chunk(dec, "id"),
-        _links(cls, iri(F.col("individual")), RDF_TYPE, iri(F.col("class"))), chunk(cls, "individual"),
-        _links(obj, iri(F.col("subject")), iri(F.col("property")), iri(F.col("object"))), chunk(obj, "subject"),
-        _rows(lit, iri(F.col("subject")), iri(F.col("property")), F.col("l.o"), F.col("l.o_dtype")), chunk(dat, "subject"),
-        _links(same, iri(F.col("a")), SAME_AS, iri(F.col("b"))),
-    ])
-
-
-def parent_triples(classes: DataFrame) -> DataFrame:
-    """Subclass links from ``classes(class, parents)``."""
-    rows = classes.select(strip_name("class").alias("c"), F.explode("parents").alias("p")).select("c", strip_name("p").alias("p"))
-    return _links(rows, iri(F.col("c")), SUBCLASS, iri(F.col("p")))
+    a = a.withColumn("l", typed_literal(F.col("value"), F.col("datatype")))
+    chunk = lambda s: _triple(s, EX + "chunk_id", F.col("chunk_id"), XSD + "integer")
+    kind, subject = F.col("type"), iri(F.col("subject"))
+    dec, ind = iri(F.col("id")), iri(F.col("individual"))
+    return _emit(a, (
+        F.when(kind == "DeclareIndividual", F.array(_link(dec, RDF_TYPE, F.lit(INDIVIDUAL)), chunk(dec)))
+        .when(kind == "ClassAssertion", F.array(_link(ind, RDF_TYPE, iri(F.col("class"))), chunk(ind)))
+        .when(kind == "ObjectPropertyAssertion", F.array(_link(subject, iri(F.col("property")), iri(F.col("object"))), chunk(subject)))
+        .when(kind == "DataPropertyAssertion", F.array(_triple(subject, iri(F.col("property")), F.col("l.o"), F.col("l.o_dtype")), chunk(subject)))
+        .when(kind == "SameIndividual", F.transform(_pairs_of(F.col("individuals")), lambda x: _link(iri(x["a"]), SAME_AS, iri(x["b"]))))))
 
 
 def from_ontology(classes: DataFrame, axioms: DataFrame, abox: DataFrame) -> DataFrame:
-    """The distinct triples of the three tables of an ontology."""
-    parts = [class_triples(classes), axiom_triples(axioms), assertion_triples(abox)]
-    if "parents" in classes.columns:
-        parts.append(parent_triples(classes))
-    return reduce(DataFrame.unionByName, parts).distinct()
+    """The distinct triples of the three tables of an ontology; each table is read once."""
+    return class_triples(classes).unionByName(axiom_triples(axioms)).unionByName(assertion_triples(abox)).distinct()
 
 
 # ------------------------------------------------------------------ access
@@ -237,35 +237,41 @@ def validate(t: DataFrame) -> DataFrame:
     return t.join(gone, ["s", "p", "o", "o_kind"], "left_anti").select(*COLUMNS)
 
 
-def types_by_subclass(t: DataFrame) -> DataFrame:
+def type_links(t: DataFrame) -> DataFrame:
+    """``(s, o)`` of all type links."""
+    return t.where((F.col("p") == RDF_TYPE) & (F.col("o_kind") == "iri")).select("s", "o").distinct()
+
+
+def types_by_subclass(t: DataFrame, types: DataFrame | None = None, sub: DataFrame | None = None) -> DataFrame:
     """Missing ``(s, o)``: x has type C and C leads to D by subclass links, so x has type D.
 
-    Types are joined once to the closure of the class graph instead of running rounds over all types.
+    Types are joined once to the closure of the class graph instead of running rounds over all types. ``types``
+    and ``sub`` are the type links and the closure if they are at hand.
     """
-    sub = closure(t.where((F.col("p") == SUBCLASS) & (F.col("o_kind") == "iri")).select(F.col("s").alias("src"), F.col("o").alias("dst")))
-    types = t.where((F.col("p") == RDF_TYPE) & (F.col("o_kind") == "iri")).select("s", "o").distinct()
+    sub = subclass_closure(t) if sub is None else sub
+    types = type_links(t) if types is None else types
     more = types.join(sub, types["o"] == sub["src"]).select("s", F.col("dst").alias("o")).distinct()
     return more.join(types, ["s", "o"], "left_anti")
 
 
-def types_by_equivalence(t: DataFrame) -> DataFrame:
+def types_by_equivalence(t: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """Missing ``(s, o)`` by equivalence links in both directions, to the fixpoint."""
     from .components import star_components
 
     eq = t.where((F.col("p") == EQUIVALENT) & (F.col("o_kind") == "iri")).select(F.col("s").alias("u"), F.col("o").alias("v"))
     comp = cut(star_components(eq), "equivalents")
-    types = t.where((F.col("p") == RDF_TYPE) & (F.col("o_kind") == "iri")).select("s", "o").distinct()
+    types = type_links(t) if types is None else types
     has = types.join(comp, types["o"] == comp["node"]).select("s", "component").distinct()
     more = has.join(comp.withColumnRenamed("node", "o"), "component").select("s", "o")
     return more.join(types, ["s", "o"], "left_anti").distinct()
 
 
-def types_by_schema(t: DataFrame, schema: str) -> DataFrame:
+def types_by_schema(t: DataFrame, schema: str, types: DataFrame | None = None) -> DataFrame:
     """Missing ``(s, o)`` by domains (of subjects) or ranges (of IRI objects); off by default in ``infer``."""
     decl = t.where((F.col("p") == schema) & (F.col("o_kind") == "iri")).select(F.col("s").alias("p"), F.col("o").alias("cls")).distinct()
     node = F.col("s") if schema == DOMAIN else F.col("o")
     links = t if schema == DOMAIN else t.where("o_kind = 'iri'")
-    types = t.where((F.col("p") == RDF_TYPE) & (F.col("o_kind") == "iri")).select("s", "o").distinct()
+    types = type_links(t) if types is None else types
     more = links.select("p", node.alias("x")).distinct().join(decl, "p").select(F.col("x").alias("s"), F.col("cls").alias("o")).distinct()
     return more.join(types, ["s", "o"], "left_anti")
 
@@ -286,26 +292,33 @@ def _as_types(pairs: DataFrame) -> DataFrame:
     return pairs.select("s", F.lit(RDF_TYPE).alias("p"), "o", F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_dtype"))
 
 
-def infer(t: DataFrame, saturate: bool = False, domains: bool = False, ranges: bool = False, inverses: dict[str, str] = INVERSES) -> DataFrame:
-    """All triples with the inferred ones: subclass types, then equivalence types, then inverses.
+def inferred(t: DataFrame, saturate: bool = False, domains: bool = False, ranges: bool = False, inverses: dict[str, str] = INVERSES) -> DataFrame:
+    """The triples that inference adds: subclass types, then equivalence types, then inverses.
 
     The steps run once in this order, so types that equivalence adds are not followed up the class graph
-    again; ``saturate`` repeats the type steps until nothing is new.
+    again; ``saturate`` repeats the type steps until nothing is new. Only added types are written, and the
+    class graph is closed once.
     """
-    t = cut(t.select(*COLUMNS), "asserted")
+    sub = cut(subclass_closure(t).select("src", "dst"), "closure")
+    known = [cut(type_links(t), "types")]
+    steps = [lambda ts: types_by_subclass(t, ts, sub), lambda ts: types_by_equivalence(t, ts)]
+    steps += [lambda ts, k=k: types_by_schema(t, k, ts) for on, k in ((domains, DOMAIN), (ranges, RANGE)) if on]
     while True:
-        before = t
-        t = cut(t.unionByName(_as_types(types_by_subclass(t))), "subclass-types")
-        more, n = cut_counted(_as_types(types_by_equivalence(t)), "equivalence-types")
-        t = cut(t.unionByName(more), "typed")
-        for on, schema in ((domains, DOMAIN), (ranges, RANGE)):
-            if on:
-                extra, k = cut_counted(_as_types(types_by_schema(t, schema)), "schema-types")
-                t, n = cut(t.unionByName(extra), "typed"), n + k
-        if not (saturate and n and t.count() > before.count()):
+        new = 0
+        for step in steps:
+            more, n = cut_counted(step(stack(known)), "added-types")
+            known += [more] if n else []
+            new += n
+        if not saturate or not new:
             break
     inv = inverse_links(t, inverses).select("s", "p", "o", F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_dtype"))
-    return t.unionByName(inv)
+    return _as_types(stack(known[1:])).unionByName(inv) if known[1:] else inv
+
+
+def infer(t: DataFrame, **how: bool | dict[str, str]) -> DataFrame:
+    """All triples with the ``inferred`` ones."""
+    t = cut(t.select(*COLUMNS), "asserted")
+    return t.unionByName(inferred(t, **how))
 
 
 def subclass_closure(t: DataFrame) -> DataFrame:
@@ -316,7 +329,7 @@ def direct_types(t: DataFrame, compat: bool = False, above: DataFrame | None = N
     """``(s, o)``: the most specific types of each node. A type goes if another type of the node lies
     strictly below it. Types of one cycle are as specific as each other; with ``compat`` they remove
     each other. ``above`` is the closure of the class graph if it is at hand."""
-    types = t.where((F.col("p") == RDF_TYPE) & (F.col("o_kind") == "iri")).select("s", "o").distinct()
+    types = type_links(t)
     c = cut((subclass_closure(t) if above is None else above).where("src <> dst").select("src", "dst"), "closure")
     if not compat:
         c = c.join(c.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_anti")

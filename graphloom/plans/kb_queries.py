@@ -111,7 +111,13 @@ def kb_invalid_links(spark, d):
 def kb_inferred(spark, d):
     """Triples that the whole inference adds to the validated ones."""
     t = cut(tr.validate(_kept(spark, d)), "valid")
-    return tr.diff(tr.infer(t, inverses=INVERSE), t).select("s", "p", "o")
+    return tr.inferred(t, inverses=INVERSE).select("s", "p", "o")
+
+
+def kb_diff(spark, d):
+    """The triples that are no labels and no types, as a difference of two graphs."""
+    t = _kept(spark, d)
+    return tr.diff(t, t.where(F.col("p").isin(tr.RDF_TYPE, tr.LABEL))).select("s", "p", "o")
 
 
 def kb_superclasses(spark, d):
@@ -367,7 +373,7 @@ def rag_topk(spark, d):
 
 _ALL = (
     kb_triples, kb_stats, kb_node_kinds, kb_pattern, kb_labels, kb_loose_classes, kb_entity_axioms, kb_subclass_types, kb_members_by_class, kb_equivalence_types, kb_domain_types,
-    kb_range_types, kb_inverse_links, kb_invalid_links, kb_inferred, kb_superclasses, kb_direct_types, kb_same_as, kb_equivalence_sets, kb_same_pairs, kb_name_groups, kb_polysemy,
+    kb_range_types, kb_inverse_links, kb_invalid_links, kb_inferred, kb_diff, kb_superclasses, kb_direct_types, kb_same_as, kb_equivalence_sets, kb_same_pairs, kb_name_groups, kb_polysemy,
     kb_rejected, kb_surviving_groups, kb_prune, kb_kept, kb_cleanup_counts, kb_individuals, kb_individuals_by_chunk, kb_scoped_classes, kb_accumulate, kb_merged, kb_apply_equivalences,
     kb_degrees, kb_compare, kb_property_values, kb_schema_classes, kb_schema_properties, kb_turtle_roundtrip, entity_token_scores, entity_candidates, entity_resolution, entity_enriched,
     context_properties, context_provenance, context_class_descriptions, context_property_descriptions, context_members, context_by_question_type, context_counts,
@@ -473,6 +479,7 @@ def oracle_sql() -> dict[str, str]:
         "kb_inferred": _w(_T, _TY, _CLO, _VALID, f"""ok AS (SELECT * FROM t WHERE NOT (o_kind = 'iri' AND (s, p, o) IN (SELECT (s, p, o) FROM bad))),
  t1 AS (SELECT s, o FROM ty UNION SELECT ty.s, clo.b FROM ty JOIN clo ON clo.a = ty.o)""", eqtypes, f"""t2 AS (SELECT s, o FROM t1 UNION SELECT t1.s, ee.b FROM t1 JOIN ee ON ee.a = t1.o)""", recursive=True)
         + f"SELECT s, {_TYPE} p, o FROM (SELECT s, o FROM t2 EXCEPT SELECT s, o FROM ty) UNION ALL (SELECT DISTINCT o, '{tr.EX}isPatchOf', s FROM ok WHERE p = '{tr.EX}hasPatch' AND o_kind = 'iri' EXCEPT SELECT s, p, o FROM ok)",
+        "kb_diff": _w(_T) + f"SELECT s, p, o FROM t WHERE p NOT IN ({_TYPE}, {_LAB})",
         "kb_superclasses": _w(_T, _CLO, recursive=True) + f"SELECT {_READ('a')} \"class\", {_READ('b')} superclass FROM clo",
         "kb_direct_types": _w(_T, _TY, _CLO, "al AS (SELECT s, o FROM ty UNION SELECT ty.s, clo.b FROM ty JOIN clo ON clo.a = ty.o)", "nr AS (SELECT * FROM clo WHERE a <> b)", recursive=True)
         + "SELECT s, o FROM al EXCEPT SELECT al.s, nr.b FROM al JOIN nr ON nr.a = al.o",
