@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,36 +12,30 @@ from pyspark.sql import types as T
 from ..common import cut
 from ..ddl import schema
 from ..functions import text as fx
-from ..functions.markdown import clean, front_matter, page_chunks
+from ..functions import markdown as md
+from ..functions.markdown import page_chunks
 from ..sources.files import CHUNK, read_markdown, write_report
 
-PAGE = schema(
-    "source_path string, front_matter map<string,string>, clean_text string, "
-    "cleaning_flags struct<boilerplate_removed:boolean,shortcode_residue:boolean,html_residue:boolean>, title string, date string, external_url string, layout string")
-
-
 def clean_pages(raw: DataFrame) -> DataFrame:
     """``raw(source_path, raw)`` into pages; null texts count as empty.
 
-    Values of the front matter are texts: lists and numbers as JSON.
+    Cleaning: shortcodes, tags, links, lists, notices and blanks, in this order; what is left over is flagged.
+    Values of the front matter are texts: lists as JSON.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, text in zip(batch["source_path"], batch["raw"]):
-                meta, body = front_matter(text or "")
-                c = clean(body, path or "")
-                plain = {k: v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k, v in meta.items()}
-                pick = lambda k: str(meta[k]) if meta.get(k) else None  # noqa: E731,B023
-                rows.append((path, plain, c.text, {"boilerplate_removed": c.boilerplate_removed, "shortcode_residue": c.shortcode_residue, "html_residue": c.html_residue}, str(meta.get("title", "")), pick("date"), pick("externalUrl"), pick("layout")))
-            yield pd.DataFrame(rows, columns=PAGE.names)
-
-    p = raw.select("source_path", "raw").mapInPandas(run, PAGE)
     path = F.col("source_path")
-    return p.withColumns({
-        "page_id": fx.page_id(path), "language": fx.page_language(path), "page_type": fx.page_type(F.concat(F.lit("/"), path), F.col("layout")), "page_kind": fx.page_kind(path),
-        "section_path": fx.section_path(path), "slug": fx.page_slug(path),
-    }).drop("layout")
+    meta, body = md.front_matter(F.coalesce("raw", F.lit("")))
+    p = raw.select("source_path", meta.alias("front_matter"), md.shortcodes_expanded(body).alias("t"))
+    p = p.withColumn("t", md.without_html(F.col("t"))).withColumn("t", fx.list_numbers(md.routed_links(F.col("t"), path)))
+    p = p.withColumn("noisy", fx.has_noise("t")).withColumn("clean_text", fx.tidy_blanks(fx.drop_noise("t")))
+    left = fx.residue_flags("clean_text")
+    value = lambda k: F.nullif(F.element_at("front_matter", F.lit(k)), F.lit(""))
+    layout = value("layout")
+    return p.select(
+        "source_path", "front_matter", "clean_text",
+        F.struct(F.col("noisy").alias("boilerplate_removed"), left["has_shortcode_residue"].alias("shortcode_residue"), left["has_html_residue"].alias("html_residue")).alias("cleaning_flags"),
+        F.coalesce(value("title"), F.lit("")).alias("title"), value("date").alias("date"), value("externalUrl").alias("external_url"),
+        fx.page_id(path).alias("page_id"), fx.page_language(path).alias("language"), fx.page_type(F.concat(F.lit("/"), path), layout).alias("page_type"), fx.page_kind(path).alias("page_kind"),
+        fx.section_path(path).alias("section_path"), fx.page_slug(path).alias("slug"))
 
 
 def chunk_pages(pages: DataFrame, max_tokens: int = 1000, compat: bool = False) -> DataFrame:

@@ -15,6 +15,7 @@ from graphloom.operators import ground as gr
 from graphloom.operators import triples as tr
 from graphloom.operators.cluster import average_linkage, nearest, vector_pairs
 from graphloom.operators.evaluate import paired
+from graphloom.plans.preprocess import clean_pages
 from graphloom.sources.turtle import parse_turtle
 
 
@@ -66,17 +67,41 @@ text - end.
 """
 
 
-def test_page():
-    meta, body = md.front_matter(PAGE)
-    assert meta == {"title": "My page", "date": "2024-01-02", "tags": ["a", "b"], "draft": False}
-    c = md.clean(body, "site/support/page/index.en.md")
-    assert "Warning: Mind this" in c.text and "## Big\ntitle: Big\n### Small\nsubtitle: Small" in c.text
-    assert "Image: A (source: x.png)" in c.text and "[there](/site/support/other)" in c.text and "[out](http://x)" in c.text
-    assert "1. first" in c.text and c.boilerplate_removed and not c.html_residue and not c.shortcode_residue
-    chunks = md.page_chunks(c.text, "My page", 12)
+def cleaned(spark, text, path="site/support/page/index.en.md"):
+    return clean_pages(spark.createDataFrame([(path, text)], "source_path string, raw string")).first()
+
+
+def test_page(spark):
+    c = cleaned(spark, PAGE)
+    assert c["front_matter"] == {"title": "My page", "date": "2024-01-02", "tags": '["a","b"]', "draft": "false"}
+    text, flags = c["clean_text"], c["cleaning_flags"]
+    assert "Warning: Mind this" in text and "## Big\ntitle: Big\n### Small\nsubtitle: Small" in text
+    assert "Image: A (source: x.png)" in text and "[there](/site/support/other)" in text and "[out](http://x)" in text
+    assert "1. first" in text and flags["boilerplate_removed"] and not flags["html_residue"] and not flags["shortcode_residue"]
+    chunks = md.page_chunks(text, "My page", 12)
     assert all(x["token_count"] <= 12 for x in chunks) and [x["chunk_index"] for x in chunks] == list(range(len(chunks)))
     words = lambda t: t.split()
-    assert words(" ".join(x["chunk_text_clean"] for x in chunks)) == words(c.text)
+    assert words(" ".join(x["chunk_text_clean"] for x in chunks)) == words(text)
+
+
+def test_shortcodes():
+    cases = {
+        '{{< img src="a.png" >}}': "Image source: a.png", '{{<img alt="x &amp; y"/>}}': "Image: x & y", "{{< img >}}": "",
+        '{{< team-member name="Ann" name_line2="Lee" title="<b>Nurse</b>" linkedin="l" >}}': "Team member: Ann Lee; role: Nurse; linkedin: l",
+        '{{< code language="py" title="T" >}}\nx = 1\n{{< /code >}}': "Code example (py): T\n```py\nx = 1\n```", "{{< code >}}": "Code example (text)",
+        "{{< lead >}} a {{< alert >}}b{{< /alert >}} {{< /lead >}}": "Lead: a Warning: b", '{{< card title="T" text="t" >}}': "title: T\ntext: t",
+        '{{< grid >}}{{< card title="A" >}}in{{< /card >}}{{< card label="B" >}}{{< /grid >}}': "## A\ntitle: A\ninlabel: B", "a {{< /alert >}} b": "a {{< /alert >}} b", '{{< x text="1" text="2 > 1" >}}': "text: 2 > 1",
+        "no {{ marks": "no {{ marks", "": "",
+    }
+    assert {k: md.expand(k) for k in cases} == cases
+
+
+def test_front_matter_and_html(spark):
+    c = cleaned(spark, "---\na: 007\nb: -1.50\nc: [x, 'y z']\nd: \"q: r\"\n# e: no\nf: TRUE\na: 8\ng: []\nh:\n---\nbody")
+    assert c["front_matter"] == {"a": "8", "b": "-1.50", "c": '["x","y z"]', "d": "q: r", "f": "true", "g": "[]", "h": ""} and c["clean_text"] == "body"
+    assert cleaned(spark, "no block\n---\n")["front_matter"] == {} and cleaned(spark, None)["clean_text"] == "" and cleaned(spark, "---\nt: 1\n---")["clean_text"] == ""
+    assert cleaned(spark, 'see <a class="x" href="/u"> <b>the\tpage</b> </a>,<br/><A HREF="mailto:v"><i></i></A> &lt;tag&gt; &eacute;')["clean_text"] == "see [the page](/u),\nmailto:v <tag> é"
+    assert cleaned(spark, "[a](b.en.md) [c](../../../../x.md) [d](https://e) [f](/g) [h]( ../_index.da.md )")["clean_text"] == "[a](/site/support/page/b) [c](../../../../x.md) [d](https://e) [f](/g) [h](/site/support)"
 
 
 def test_titles_in_a_row():
