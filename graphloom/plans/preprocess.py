@@ -25,7 +25,7 @@ def clean_pages(raw: DataFrame) -> DataFrame:
     path = F.col("source_path")
     meta, body = md.front_matter(F.coalesce("raw", F.lit("")))
     p = raw.select("source_path", meta.alias("front_matter"), md.shortcodes_expanded(body).alias("t"))
-    p = p.withColumn("t", md.without_html(F.col("t"))).withColumn("t", fx.list_numbers(md.routed_links(F.col("t"), path)))
+    p = p.withColumn("t", md.without_tags(F.col("t"))).withColumn("t", md.decoded_and_routed(F.col("t"), path)).withColumn("t", fx.list_numbers("t"))
     p = p.withColumn("noisy", fx.has_noise("t")).withColumn("clean_text", fx.tidy_blanks(fx.drop_noise("t")))
     left = fx.residue_flags("clean_text")
     value = lambda k: F.nullif(F.element_at("front_matter", F.lit(k)), F.lit(""))
