@@ -9,7 +9,7 @@ from ..common import cut, strip_name, table
 from ..operators.hierarchy import Hierarchy, hierarchy, named_paths
 from ..operators.nested import Rule, emit, read_tag, write_tagged
 from ..operators.closure import closure
-from ..operators.orphans import orphan_references, orphan_report
+from ..operators.orphans import orphan_counts, orphan_references
 
 # ---------------------------------------------------------------- problem 2
 
@@ -125,8 +125,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
     """Orphan references and missing names by field and month."""
-    rows = orphan_references(*_references(spark, d)).select("assertion_id", "ref_field", "period", "name").distinct()
-    return orphan_report(rows, ["ref_field", "period"])
+    return orphan_counts(*_references(spark, d), ["ref_field", "period"], ["assertion_id", "ref_field"])
 
 
 def queries() -> dict:
