@@ -99,5 +99,12 @@ def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if written_bytes(df) <= limit else df
 
 
+def broadcast_blocks(df: DataFrame, limit: int = BROADCAST_BYTES) -> list[DataFrame]:
+    """A query set, as ``cut`` made it, in blocks of about ``limit`` bytes at most, by a hash of its rows; each can be
+    sent to all tasks, so the set may be of any size and nothing switches to another join."""
+    n = max(1, -(-written_bytes(df) // limit))
+    return [df.where(F.pmod(F.xxhash64(*df.columns), F.lit(n)) == i) for i in range(n)] if n > 1 else [df]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import readable
 
@@ -31,3 +35,27 @@ def mapping_text(m: str) -> Column:
 def canonical_json(fields: dict[str, Column]) -> Column:
     """JSON with keys in order; nulls are left out."""
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]))
+
+
+def _once(x: object) -> object:
+    if isinstance(x, dict):
+        return {k: _once(v) for k, v in x.items()}
+    if isinstance(x, list):
+        first: dict[str, object] = {}
+        for v in map(_once, x):
+            first.setdefault(json.dumps(v, sort_keys=True, ensure_ascii=False), v)
+        return list(first.values())
+    return x
+
+
+@F.pandas_udf(T.StringType())
+def deduped_json(s: pd.Series) -> pd.Series:
+    """Nested JSON in which each item of a list stands once, the first of those that are equal as canonical JSON; in
+    Arrow batches, as the depth is not known. Null for what is no JSON."""
+    def one(t: str | None) -> str | None:
+        try:
+            return None if t is None else json.dumps(_once(json.loads(t)), ensure_ascii=False)
+        except ValueError:
+            return None
+
+    return s.map(one)

@@ -32,21 +32,6 @@ def match_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def char_bound(a: Column, b: Column) -> Column:
-    """An upper bound of the ratio: twice the shorter length over both lengths; 1 for two empty texts."""
-    la, lb = F.length(a), F.length(b)
-    return F.when(la + lb == 0, F.lit(1.0)).otherwise(2.0 * F.least(la, lb) / (la + lb))
-
-
-def bag_bound(a: Column, b: Column) -> Column:
-    """A tighter bound: characters that both texts have, counted with repeats."""
-    la, lb = F.length(a), F.length(b)
-    chars = F.array_distinct(F.split(a, ""))
-    n = lambda t, c: F.length(t) - F.length(F.replace(t, c, F.lit("")))
-    common = F.aggregate(F.filter(chars, lambda c: c != ""), F.lit(0), lambda acc, c: acc + F.least(n(a, c), n(b, c)))
-    return F.when(la + lb == 0, F.lit(1.0)).otherwise(2.0 * common / (la + lb))
-
-
 #: Characters that are counted one by one; all others are counted together.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789 _-"
 
@@ -59,7 +44,7 @@ def counted(text: str, prefix: str) -> list[Column]:
 
 
 def length_bound(la: Column, lb: Column) -> Column:
-    """``char_bound`` from lengths."""
+    """An upper bound of the ratio from lengths: twice the shorter over both; 1 for two empty texts."""
     return F.when(la + lb == 0, F.lit(1.0)).otherwise(2.0 * F.least(la, lb) / (la + lb))
 
 
@@ -80,3 +65,16 @@ def overlap_share(entity_tokens: Column, label_tokens: Column) -> Column:
     """Share of the entity's distinct tokens that the label has."""
     e = F.array_distinct(entity_tokens)
     return F.size(F.array_intersect(e, label_tokens)) / F.greatest(F.size(e), F.lit(1))
+
+
+def fuzzy_score(a: Column, b: Column) -> Column:
+    """0.80 of the matching-block ratio, 0.15 of the share of a's tokens that b has, 0.05 if there is one; of the
+    lower-cased, trimmed texts. Two nulls score 1, a null and a text 0."""
+    x, y = F.trim(F.lower(a)), F.trim(F.lower(b))
+    share = overlap_share(letter_tokens(x), letter_tokens(y))
+    score = 0.80 * match_ratio(x, y) + 0.15 * share + 0.05 * F.when(share > 0, 1.0).otherwise(0.0)
+    return F.when(a.isNull() & b.isNull(), F.lit(1.0)).when(a.isNull() | b.isNull(), F.lit(0.0)).otherwise(score)
+
+
+def fuzzy_match(a: Column, b: Column, least: float = 0.45) -> Column:
+    return fuzzy_score(a, b) >= least

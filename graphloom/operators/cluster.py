@@ -8,6 +8,7 @@ their mean unit vectors, so a task keeps one vector per cluster and no matrix of
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..common import cut
+from ..common import broadcast_blocks, cut
 from .components import star_components
 
 
@@ -187,10 +188,50 @@ def vector_clusters(items: DataFrame, key: str, vec: str, most: float = 0.3) ->
 
 
 def nearest(queries: DataFrame, items: DataFrame, q: str, key: str, vec: str, k: int = 3) -> DataFrame:
-    """The ``k`` items of highest cosine for each query; ties by key. Queries are a stated, bounded set that
-    is broadcast; each task keeps the best of its items before the shuffle (window group limit)."""
-    qs = queries.select(F.col(q).alias("query"), unit(F.col(vec)).alias("qv")).where("qv is not null")
-    rows = items.select(F.col(key).alias("item"), unit(F.col(vec)).alias("iv")).where("iv is not null").join(F.broadcast(cut(qs, "queries")))
-    scored = rows.select("query", "item", F.round(dot(F.col("qv"), F.col("iv")), 6).alias("score"))
+    """``(query, item, score, rank)``: the ``k`` items of highest cosine for each query; ties by key.
+
+    The queries are a stated set. They go to all tasks in blocks of bounded size; a task multiplies each of its
+    batches of items with a block and keeps the best ``k`` of the batch for each query, so few rows are shuffled.
+    Null and zero vectors take no part.
+    """
+    qs = cut(queries.select(F.col(q).alias("query"), unit(F.col(vec)).alias("v")).where("v is not null"), "queries")
+    rows = items.select(F.col(key).alias("item"), unit(F.col(vec)).alias("v")).where("v is not null")
+    layout = f"query {queries.schema[q].dataType.simpleString()}, item {items.schema[key].dataType.simpleString()}, score double"
+
+    def best(block: DataFrame) -> DataFrame:
+        held = block.toPandas()  # a block of bounded size
+        shared = queries.sparkSession.sparkContext.broadcast((held["query"].to_numpy(), np.stack(held["v"].to_numpy()) if len(held) else np.zeros((0, 1))))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, own = shared.value
+            for b in batches:
+                if not len(b) or not len(names):
+                    continue
+                scores, ids = own @ np.stack(b["v"].to_numpy()).T, b["item"].to_numpy()
+                keyed = np.round(scores, 6)
+                at, of = [], []
+                for n, row in enumerate(keyed):
+                    near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
+                    near = near[np.lexsort((ids[near], -row[near]))][:k]
+                    at.append(near)
+                    of.append(np.full(len(near), n))
+                at, of = np.concatenate(at), np.concatenate(of)
+                yield pd.DataFrame({"query": names[of], "item": ids[at], "score": scores[of, at]})
+
+        return rows.mapInPandas(run, layout)
+
+    scored = reduce(DataFrame.unionByName, map(best, broadcast_blocks(qs))).withColumn("score", F.round("score", 6))
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.col("score").desc(), "item"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def cluster_sizes(clusters: DataFrame) -> DataFrame:
+    """``(size, clusters, members)`` of ``clusters(cluster, key)``: how many clusters have each size."""
+    n = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    return n.groupBy("size").agg(F.count(F.lit(1)).alias("clusters"), F.sum("size").alias("members"))
+
+
+def resolution_ratios(decisions: DataFrame) -> DataFrame:
+    """``(action, n, share)`` of ``decisions(action, ...)``: how many members were merged, kept or rejected."""
+    n = decisions.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+    return n.crossJoin(F.broadcast(decisions.agg(F.count(F.lit(1)).alias("total")))).select("action", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))  # one row

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .questions import tier_of
 
@@ -140,6 +145,31 @@ def flat_tokens(facets: list[Column]) -> Column:
     return F.array_distinct(F.transform(F.flatten(F.array(*[F.coalesce(f, F.array().cast("array<string>")) for f in facets])), F.lower))
 
 
+def _leaves(x: object) -> Iterator[str]:
+    if isinstance(x, dict):
+        for k, v in x.items():
+            yield str(k).lower()
+            yield from _leaves(v)
+    elif isinstance(x, list):
+        for v in x:
+            yield from _leaves(v)
+    elif x is not None:
+        yield str(x).lower()
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def nested_tokens(s: pd.Series) -> pd.Series:
+    """Distinct lower-cased keys and values of nested JSON, sorted; in Arrow batches, as the depth is not known.
+    An empty list for null and for what is no JSON."""
+    def one(t: str | None) -> list[str]:
+        try:
+            return [] if t is None else sorted(set(_leaves(json.loads(t))))
+        except ValueError:
+            return []
+
+    return s.map(one)
+
+
 def within(predicted: Column, context: Column) -> Column:
     """All predicted tokens, of which there is at least one, stand in the context."""
     return (F.size(predicted) > 0) & (F.size(F.array_except(predicted, context)) == 0)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import re
 from functools import reduce
+from urllib.parse import unquote
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..common import bounded_broadcast, cut, cut_counted
+from ..common import broadcast_blocks, cut, cut_counted
 from ..functions.similarity import count_bound, counted, length_bound, long_tokens, match_ratio, overlap_share
 from ..functions.text import entity_key, letter_tokens, readable
 from .triples import (
@@ -16,7 +21,7 @@ from .triples import (
     direct_types, labels, same_as_sets, subclass_closure,
 )
 
-FLOOR, KEEP = 0.45, 0.5
+KEEP = 0.5
 
 
 def entity_labels(t: DataFrame) -> DataFrame:
@@ -51,8 +56,8 @@ def candidates(entities: DataFrame, names: DataFrame, top: int = 10, keep: float
 
     Score: 1 for equal normal forms of the label or the fragment; else 0.45 of the matching-block ratio to
     the label, 0.35 of that to the fragment, 0.15 of the share of the entity's tokens among the label's long
-    tokens, 0.05 if any is. The entities are a stated, bounded query set: they are broadcast if small and
-    compared with every name; native upper bounds of the ratio remove nearly all pairs before the Arrow
+    tokens, 0.05 if any is. The entities are a stated query set: they are sent to all tasks in blocks of bounded
+    size and compared with every name; native upper bounds of the ratio remove nearly all pairs before the Arrow
     function runs, without losing a pair at or above ``keep``. Ties go by uri.
     """
     e = entities.select("entity").where("entity is not null").distinct().withColumn("ek", entity_key("entity"))
@@ -65,7 +70,7 @@ def candidates(entities: DataFrame, names: DataFrame, top: int = 10, keep: float
     other = F.when(F.col("cf") < 0.8, 0.35 * length_bound(F.col("en"), F.col("fn"))).otherwise(0.0)
     best_case = F.col("cf") * count_bound("e", "l", F.col("en"), F.col("ln")) + other
     # tokens are looked at only for pairs that could make it with all token points
-    pairs = n.join(bounded_broadcast(e), exact | (best_case >= keep - 0.2 - 1e-9))
+    pairs = reduce(DataFrame.unionByName, [n.join(F.broadcast(b), exact | (best_case >= keep - 0.2 - 1e-9)) for b in broadcast_blocks(e)])
     native = 0.15 * overlap_share(F.col("et"), F.col("lt")) + 0.05 * F.when(F.arrays_overlap("et", "lt"), 1.0).otherwise(0.0)
     pairs = pairs.select("entity", "uri", "label", "ek", "lk", "fk", exact.alias("exact"), native.alias("native"), best_case.alias("best")).where(F.col("exact") | (F.col("best") + F.col("native") >= keep - 1e-9))
     scored = pairs.withColumn("r1", match_ratio(ek, lk)).withColumn("r2", F.when(lk == fk, F.col("r1")).otherwise(match_ratio(ek, fk)))
@@ -216,6 +221,35 @@ def readable_values(x: Column, iris_only: bool = True) -> Column:
     return F.transform(x, lambda v: F.when(F.regexp_like(v, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:[^\s]*#")), readable(v)).otherwise(v))
 
 
+def _cleaned(x: object, iris_only: bool) -> object:
+    if isinstance(x, dict):
+        return {_cleaned(k, iris_only): _cleaned(v, iris_only) for k, v in x.items()}
+    if isinstance(x, list):
+        return [_cleaned(v, iris_only) for v in x]
+    if isinstance(x, str) and (not iris_only or _IRI.match(x)):
+        return unquote(x.rsplit("#", 1)[-1])
+    return x
+
+
+_IRI = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:\S*#")
+
+
+def readable_json(x: Column, iris_only: bool = True) -> Column:
+    """A nested context as JSON with all texts, keys included, as by ``readable_values``; null if it is no JSON."""
+
+    @F.pandas_udf(T.StringType())
+    def run(s: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str | None:
+            try:
+                return None if t is None else json.dumps(_cleaned(json.loads(t), iris_only), ensure_ascii=False)
+            except ValueError:
+                return None
+
+        return s.map(one)
+
+    return run(x)
+
+
 def context_counts(ctx: DataFrame) -> DataFrame:
     """Sizes of the fields of each context."""
     n = lambda c: F.coalesce(F.size(c), F.lit(0)).alias(f"n_{c}")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..common import cut
+from ..functions.text import prompt
 from ..model import Recorded, Remote, Rules, predict
 from ..operators import ground as gr
 from ..operators import questions as qs
 from ..operators import retrieve as rt
+from ..operators.cluster import nearest, word_terms
 
 Provider = Rules | Recorded | Remote
 
@@ -56,3 +60,35 @@ def answer(questions: DataFrame, triples: DataFrame, provider: Provider, decisio
         both = r.join(a, "key").select("key", *gr.merge_mappings())
         out = out.join(both.select("key", F.struct(*fields).alias(f"mapped_{side}")), "key", "left")
     return out
+
+
+def hashed_vector(x: Column, size: int = 256) -> Column:
+    """A text as ``size`` counts of its words and pairs of neighbouring words, by their hashes."""
+    at = F.transform(word_terms(x), lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(at, lambda a: a == i)).cast("double"))
+
+
+def rag_answer(questions: DataFrame, docs: DataFrame, provider: Provider, k: int = 3, family: str = "phi", embed: Callable[[Column], Column] = hashed_vector) -> DataFrame:
+    """The baseline without a graph: questions ``(key, question)`` answered from the ``k`` nearest of ``docs(doc_id,
+    text)``. ``(key, question, doc_ids, prompt, answer, reasoning, by)``; questions without a document near them
+    get an empty list. The vectors come from ``embed``, by default hashed words."""
+    q = questions.select("key", "question", embed(F.col("question")).alias("v"))
+    d = cut(docs.where("doc_id is not null and text is not null").select("doc_id", "text", embed(F.col("text")).alias("v")), "vectors")
+    near = nearest(q, d, "key", "doc_id", "v", k).where("score > 0").select(F.col("query").alias("key"), F.col("item").alias("doc_id"), "rank")
+    found = near.join(d.select("doc_id", "text"), "doc_id").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "text"))).alias("hits"))
+    rows = questions.select("key", "question").join(found, "key", "left")
+    texts = F.coalesce(F.array_join(F.transform("hits", lambda h: h["text"]), "\n\n"), F.lit(""))
+    ids = F.coalesce(F.transform("hits", lambda h: h["doc_id"]), F.array().cast(f"array<{docs.schema['doc_id'].dataType.simpleString()}>"))
+    system = F.lit("Answer the question from the context. If it is not there, say that you can't answer the question.")
+    asked = prompt(system, F.concat(F.lit("Context:\n"), texts, F.lit("\n\nQuestion: "), F.coalesce("question", F.lit(""))), family)
+    out = predict(rows.select("key", "question", ids.alias("doc_ids"), asked.alias("prompt")), "answer", provider)
+    return out.select("key", "question", "doc_ids", "prompt", F.col("result.answer").alias("answer"), F.col("result.reasoning").alias("reasoning"), "by")
+
+
+def validate_answers(answered: DataFrame, provider: Provider) -> DataFrame:
+    """``answered`` with ``triples``, what its mapping of the entity states, and ``decision``: accept or reject."""
+    got = answered.where("mapped_entity is not null").select("key", "entity", "mapped_entity.*")
+    said = gr.mapping_triples(got, "key", "entity").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("entity", "relation", "object"))).alias("triples"))
+    none = F.array().cast(said.schema["triples"].dataType)
+    rows = answered.join(said, "key", "left").withColumn("triples", F.coalesce("triples", none))
+    return predict(rows, "answer_check", provider).withColumn("decision", F.col("result.decision")).drop("result", "by")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..common import cut
 from ..ddl import schema
 
 CHUNK = schema(
@@ -72,14 +74,28 @@ def read_ontology(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"classes": flat("ontology_tbox.classes"), "axioms": flat("ontology_tbox.axioms"), "abox": flat("ontology_abox"), "pruned": pruned}
 
 
-def read_base_classes(spark: SparkSession, path: str) -> DataFrame:
-    """Upper classes from a JSON array; a missing or unreadable file gives none."""
+def _upper(spark: SparkSession, path: str, layout: T.StructType) -> DataFrame:
     try:
-        return spark.read.schema(BASE_CLASS).option("multiLine", "true").option("mode", "DROPMALFORMED").json(path)
+        return spark.read.schema(layout).option("multiLine", "true").option("mode", "FAILFAST").json(path)
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], BASE_CLASS)
+        return spark.createDataFrame([], layout)
+
+
+def read_base_classes(spark: SparkSession, path: str) -> DataFrame:
+    """Upper classes from a JSON array; a missing file gives none, a malformed record an error, never fewer rows."""
+    return _upper(spark, path, BASE_CLASS)
+
+
+def read_base_axioms(spark: SparkSession, path: str) -> DataFrame:
+    """Upper axioms from a JSON array, as ``read_base_classes``."""
+    return _upper(spark, path, AXIOM)
+
+
+def append_records(rows: DataFrame, path: str) -> None:
+    """Append records, such as manual annotations, as JSON lines; earlier ones stay."""
+    rows.write.mode("append").json(path)
 
 
 def write_ontology(tables: dict[str, DataFrame], path: str, info: dict[str, str] | None = None) -> None:
@@ -104,14 +120,15 @@ def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path)
 
 
-def phase(df: DataFrame, folder: str | None, name: str, resume: bool = False) -> DataFrame:
-    """A phase's table under ``folder``: read if ``resume`` and complete, else written and read back."""
+def phase(make: Callable[[], DataFrame], folder: str | None, name: str, resume: bool = False) -> DataFrame:
+    """A phase's table under ``folder``: read if ``resume`` and complete, and then ``make`` is not called; else made,
+    written and read back. Without a folder it goes to the scratch folder."""
     if folder is None:
-        return df
-    spark, path = df.sparkSession, f"{folder}/{name}"
+        return cut(make(), name)
+    spark, path = SparkSession.getActiveSession(), f"{folder}/{name}"
     p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not (resume and p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)):
-        df.write.mode("overwrite").parquet(path)
+        make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 

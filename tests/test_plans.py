@@ -1,13 +1,14 @@
 """Whole jobs on small inputs: preprocess, build, clean, convert, ask, streams, files."""
 
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.common import cut
 from graphloom.functions.show import mapping_text
-from graphloom.model import Recorded, Rules
+from graphloom.model import Recorded, Remote, Rules
 from graphloom.operators import triples as tr
 from graphloom.plans.answer import answer
 from graphloom.plans.build import build_kb, kb_triples, resolve_classes, resolve_instances
@@ -63,7 +64,15 @@ def test_build_clean_and_convert(spark, kb, tmp_path):
     assert {tuple(r["individuals"]) for r in out["abox"].where("type = 'SameIndividual'").collect()} == {("Unit 7", "unit-7")}
     assert {(r["phase"], r["type"]) for r in out["pruned"].collect()} == {("phase5_cleanup", "ClassAssertion"), ("phase5_cleanup", "DeclareIndividual")}
     n = out["abox"].count()
-    out = resolve_instances(kb, recorded(spark), str(tmp_path / "phases"), resume_from=5)  # writes phase 5 again
+    calls = Counter()
+
+    class Counted(Recorded):
+        def predict(self, rows, op):
+            calls[op.name] += 1
+            return super().predict(rows, op)
+
+    out = resolve_instances(kb, Counted(recorded(spark).table), str(tmp_path / "phases"), resume_from=5)  # writes phase 5 again
+    assert calls == {"instance_cleanup": 1}
     assert out["abox"].count() == n
     t = cut(kb_triples(out), "kb")
     have = {(r["s"].split("#")[-1], r["p"].split("#")[-1], r["o"].split("#")[-1]) for r in t.collect()}
@@ -104,7 +113,17 @@ def test_class_equivalences(spark, kb):
 def test_rules_only_builds_nothing_but_does_not_fail(spark):
     chunks = spark.createDataFrame([(1, "text")], "chunk_no int, chunk_text_clean string")
     out = build_kb(chunks, spark.createDataFrame([("Thing", "x")], "class string, description string"), Rules())
-    assert out["abox"].count() == 0 and out["axioms"].count() == 0 and out["classes"].count() == 1
+    assert out["abox"].count() == 0 and out["axioms"].count() == 0 and out["classes"].count() == 1 and out["failures"].count() == 0
+
+
+def test_failed_chunks_are_named(spark):
+    def call(op, texts):
+        if op == "instances":
+            raise RuntimeError
+        return [json.dumps({"classes": [{"class": "A", "description": "d"}]}) if op == "class_extraction" else "{}" for _ in texts]
+
+    out = build_kb(spark.createDataFrame([(1, "text")], "chunk_no int, chunk_text_clean string"), spark.createDataFrame([("Thing", "x")], "class string, description string"), Remote(call, parallel=1, tries=1))
+    assert ("instances", "1") in {tuple(r) for r in out["failures"].collect()} and {r["class"] for r in out["classes"].collect()} == {"Thing", "A"}
 
 
 def test_ontology_files(spark, tmp_path):
@@ -116,7 +135,15 @@ def test_ontology_files(spark, tmp_path):
     files.write_ontology(kb, str(tmp_path / "out"), {"model": "none"})
     meta = spark.read.json(str(tmp_path / "out" / "metadata")).first()
     assert meta["num_abox"] == 1 and meta["num_pruned"] == 1
-    assert files.read_base_classes(spark, str(tmp_path / "missing.json")).count() == 0
+    assert files.read_base_classes(spark, str(tmp_path / "missing.json")).count() == 0 and files.read_base_axioms(spark, str(tmp_path / "missing.json")).count() == 0
+    (tmp_path / "base.json").write_text('[{"class": "A", "description": "d"}, {"class": "B"}]')
+    assert files.read_base_classes(spark, str(tmp_path / "base.json")).count() == 2
+    (tmp_path / "cut.json").write_text('[{"class": "A", "description": "d"}, {"class": ')
+    with pytest.raises(Exception, match="(?i)malformed|FAILFAST"):
+        files.read_base_classes(spark, str(tmp_path / "cut.json")).collect()
+    for n in (1, 2):
+        files.append_records(spark.createDataFrame([(n, "x")], "id int, label string"), str(tmp_path / "notes"))
+    assert spark.read.json(str(tmp_path / "notes")).count() == 2
     (tmp_path / "t.jsonl").write_text('{"text": " a "}\n\n{"text": ""}\n{"other": 1}\n')
     assert [r["text"] for r in files.read_texts(spark, str(tmp_path / "t.jsonl")).collect()] == ["a"]
     with pytest.raises(FileNotFoundError):
