@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,8 @@ class Rule:
 
     columns   fields of the node that become the payload (others are visited only if a child rule names them)
     scalar_as the column that holds the node's value if a text stands in place of the object, None: no node then
+    key_as    the column that takes the names if the value is an object whose fields are the nodes, such as a map
+              from type to properties; positions then count its fields
     """
 
     tag: str
@@ -36,6 +39,11 @@ class Rule:
     columns: tuple[str, ...]
     scalar_as: str | None = None
     children: tuple[Rule, ...] = field(default=())
+    key_as: str | None = None
+
+
+#: Rows that a task holds before it hands them on.
+ROWS_HELD = 10_000
 
 
 def read_record(text: str | None) -> dict | None:
@@ -68,13 +76,17 @@ def visit(rules: tuple[Rule, ...], node: dict, record: str, pk: str, at: tuple[i
         value = node.get(rule.name)
         if value is None:
             continue
-        for pos, item in enumerate(value if isinstance(value, list) else [value]):
+        if rule.key_as:
+            found = list(value.items()) if isinstance(value, dict) else []
+        else:
+            found = [(None, x) for x in (value if isinstance(value, list) else [value])]
+        for pos, (name, item) in enumerate(found):
             if isinstance(item, str) and rule.scalar_as:
                 item = {rule.scalar_as: item}
             if not isinstance(item, dict):
                 continue
             own, path = f"{pk}/{rule.tag}:{pos}", (*at, pos)
-            payload = {c: _scalar(item.get(c)) for c in rule.columns}
+            payload = {c: name if rule.key_as and c == rule.key_as else _scalar(item.get(c)) for c in rule.columns}
             yield rule.tag, record, own, pk, list(path), json.dumps(payload, ensure_ascii=False)
             yield from visit(rule.children, item, record, own, path)
 
@@ -88,16 +100,16 @@ def emit(df: DataFrame, key: str, payload: str, root: Rule) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["tag", "record_id", "pk", "parent_pk", "path", "payload"]
-        for batch in batches:
-            rows: list[tuple] = []
-            for record, text in zip(batch["k"], batch["p"]):
-                node = read_record(text) if record is not None else None
-                if node is None:
-                    continue
-                head = {c: _scalar(node.get(c)) for c in root.columns}
-                rows.append((root.tag, record, record, None, [], json.dumps(head, ensure_ascii=False)))
-                rows.extend(visit(root.children, node, record, record, ()))
-            yield pd.DataFrame(rows, columns=names)
+        rows = (row for batch in batches for record, text in zip(batch["k"], batch["p"]) for row in of_record(record, text))
+        while held := list(islice(rows, ROWS_HELD)):
+            yield pd.DataFrame(held, columns=names)
+
+    def of_record(record: str | None, text: str | None) -> Iterator[tuple]:
+        node = read_record(text) if record is not None else None
+        if node is not None:
+            head = {c: _scalar(node.get(c)) for c in root.columns}
+            yield root.tag, record, record, None, [], json.dumps(head, ensure_ascii=False)
+            yield from visit(root.children, node, record, record, ())
 
     return df.select(F.col(key).cast("string").alias("k"), F.col(payload).cast("string").alias("p")).mapInPandas(run, EMITTED)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +26,27 @@ LOG = Rule(
 )
 
 
-def _log_tables(spark: SparkSession, d: str) -> str:
-    return write_tagged(emit(table(spark, d, "inference_logs"), "log_id", "payload", LOG))
+_SIDES = (("outgoing_object_properties", "object"), ("outgoing_data_properties", "value"), ("incoming_object_properties", "subject"))
+
+
+def _context(tag: str) -> Rule:
+    """A context with its types, members, superclasses by type and properties by type."""
+    return Rule(tag, tag, ("uri", "label"), children=(
+        Rule(f"{tag}_type", "types", ("name",), scalar_as="name"), Rule(f"{tag}_member", "members", ("name",), scalar_as="name"),
+        Rule(f"{tag}_by_type", "properties_by_type", ("type",), key_as="type", children=tuple(Rule(f"{tag}_{side}", side, ("property", field)) for side, field in _SIDES)),
+    ))
+
+
+#: All parts of a log.
+WHOLE_LOG = Rule("log", "", ("input", "error"), children=(
+    *LOG.children, Rule("answer_form", "resolved_answer_form", ("reasoning", "answer_form"), scalar_as="reasoning"), Rule("primary_entity", "extracted_entity", ("reasoning", "primary_entity")),
+    Rule("answer", "generated_answer", ("reasoning", "answer"), scalar_as="answer"),
+    Rule("context", "full_context", ("question_type",), children=(_context("entity_context"), _context("object_context"))),
+))
+
+
+def _log_tables(spark: SparkSession, d: str, rule: Rule = LOG) -> str:
+    return write_tagged(emit(table(spark, d, "inference_logs"), "log_id", "payload", rule))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -58,6 +79,31 @@ def p2_candidates(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("pk").alias("candidate_key"), F.col("parent_pk").alias("entry_key"), F.col("path")[1].alias("pos"), "label", "score", "uri")
 
 
+def p2_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers with their reasoning, by log."""
+    rows = read_tag(spark, _log_tables(spark, d, WHOLE_LOG), "answer", {"reasoning": "string", "answer": "string"})
+    return rows.select(F.col("pk").alias("answer_key"), F.col("parent_pk").alias("log_id"), F.col("path")[0].alias("pos"), "reasoning", "answer")
+
+
+def p2_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """Contexts of entities with the number of their types, members and typed property lists: three tables of one
+    emission, joined by their keys."""
+    path = _log_tables(spark, d, WHOLE_LOG)
+    rows = read_tag(spark, path, "entity_context", {"uri": "string"})
+    for tag, n in (("entity_context_type", "n_types"), ("entity_context_member", "n_members"), ("entity_context_by_type", "n_typed")):
+        count = read_tag(spark, path, tag, {}, payload=False).groupBy(F.col("parent_pk").alias("pk")).agg(F.count(F.lit(1)).alias(n))
+        rows = rows.join(count, "pk", "left").withColumn(n, F.coalesce(n, F.lit(0)))
+    return rows.select(F.col("pk").alias("context_key"), F.col("record_id").alias("log_id"), "uri", "n_types", "n_members", "n_typed")
+
+
+def p2_properties(spark: SparkSession, d: str) -> DataFrame:
+    """Properties of the entities' contexts with their type, the key of their parent and their place in it."""
+    path = _log_tables(spark, d, WHOLE_LOG)
+    types = read_tag(spark, path, "entity_context_by_type", {"type": "string"}).select(F.col("pk").alias("parent_pk"), "type")
+    sides = [read_tag(spark, path, f"entity_context_{side}", {"property": "string", field: "string"}).select("parent_pk", F.element_at("path", -1).alias("pos"), F.lit(side).alias("side"), "property", F.col(field).alias("value")) for side, field in _SIDES]
+    return reduce(DataFrame.unionByName, sides).join(types, "parent_pk").select(F.col("parent_pk").alias("typed_key"), "type", "side", "pos", "property", "value")
+
+
 # ---------------------------------------------------------------- problem 4
 
 def _class_links(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -129,7 +175,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_logs, p2_question_types, p2_entries, p2_candidates, p4_found, p4_paths, p4_descendants, p4_subtrees, p6_found, p6_report)}
+    return {f.__name__: f for f in (p2_found, p2_logs, p2_question_types, p2_entries, p2_candidates, p2_answers, p2_contexts, p2_properties, p4_found, p4_paths, p4_descendants, p4_subtrees, p6_found, p6_report)}
 
 
 # ---------------------------------------------------------------- SQL
@@ -156,6 +202,16 @@ el AS (SELECT log_id, pos, CASE WHEN json_type(n->'candidates') = 'ARRAY' THEN (
 ca AS (SELECT log_id, pos epos, g - 1 pos, l[g] n FROM el, LATERAL (SELECT unnest(range(1, len(l) + 1)) g) WHERE json_type(l[g]) = 'OBJECT')
 """
 
+_P2_PARTS = _P2 + """,
+gl AS (SELECT log_id, CASE WHEN json_type(j->'generated_answer') = 'ARRAY' THEN (j->'generated_answer')::JSON[] ELSE [j->'generated_answer'] END l,
+ CASE WHEN json_type(j->'full_context') = 'ARRAY' THEN (j->'full_context')::JSON[] ELSE [j->'full_context'] END fl FROM logs),
+ga AS (SELECT log_id, g - 1 pos, l[g] n FROM gl, LATERAL (SELECT unnest(range(1, len(l) + 1)) g) WHERE json_type(l[g]) IN ('OBJECT', 'VARCHAR')),
+fc AS (SELECT log_id, g - 1 fpos, CASE WHEN json_type(fl[g]->'entity_context') = 'ARRAY' THEN (fl[g]->'entity_context')::JSON[] ELSE [fl[g]->'entity_context'] END l FROM gl, LATERAL (SELECT unnest(range(1, len(fl) + 1)) g) WHERE json_type(fl[g]) = 'OBJECT'),
+cx AS (SELECT log_id, log_id || '/context:' || fpos || '/entity_context:' || (g - 1) k, l[g] n FROM fc, LATERAL (SELECT unnest(range(1, len(l) + 1)) g) WHERE json_type(l[g]) = 'OBJECT'),
+tk AS (SELECT k, n->'properties_by_type' m, json_keys(n->'properties_by_type') ks FROM cx WHERE json_type(n->'properties_by_type') = 'OBJECT'),
+ty AS (SELECT k, i, ks[i] t, json_extract(m, '$."' || ks[i] || '"') n FROM tk, LATERAL (SELECT unnest(range(1, len(ks) + 1)) i) WHERE json_type(json_extract(m, '$."' || ks[i] || '"')) = 'OBJECT')
+"""
+
 _EVENTS = f"""
 WITH d AS (SELECT {sql_name('id')} n, asserted_at t FROM abox WHERE type = 'DeclareIndividual'),
 p AS (SELECT {sql_name('id')} n, pruned_at t FROM pruned WHERE type = 'DeclareIndividual'),
@@ -189,6 +245,13 @@ def oracle_sql() -> dict[str, str]:
         "p2_entries": _P2 + "SELECT log_id || '/entry:' || pos entry_key, log_id, pos::INT pos, n->>'type' \"type\", n->>'entity' entity FROM en",
         "p2_candidates": _P2 + """SELECT log_id || '/entry:' || epos || '/candidate:' || pos candidate_key, log_id || '/entry:' || epos entry_key, pos::INT pos,
  n->>'label' AS label, try_cast(replace(n->>'score', ',', '.') AS DOUBLE) score, n->>'uri' uri FROM ca""",
+        "p2_answers": _P2_PARTS + """SELECT log_id || '/answer:' || pos answer_key, log_id, pos::INT pos, CASE WHEN json_type(n) = 'OBJECT' THEN n->>'reasoning' END reasoning,
+ CASE WHEN json_type(n) = 'VARCHAR' THEN n->>'$' ELSE n->>'answer' END answer FROM ga""",
+        "p2_contexts": _P2_PARTS + """SELECT k context_key, log_id, n->>'uri' uri, CASE json_type(n->'types') WHEN 'ARRAY' THEN len(list_filter((n->'types')::JSON[], lambda x: json_type(x) IN ('VARCHAR', 'OBJECT'))) WHEN 'VARCHAR' THEN 1 WHEN 'OBJECT' THEN 1 ELSE 0 END n_types,
+ CASE json_type(n->'members') WHEN 'ARRAY' THEN len(list_filter((n->'members')::JSON[], lambda x: json_type(x) IN ('VARCHAR', 'OBJECT'))) WHEN 'VARCHAR' THEN 1 WHEN 'OBJECT' THEN 1 ELSE 0 END n_members,
+ (SELECT count(*) FROM ty WHERE ty.k = cx.k) n_typed FROM cx""",
+        "p2_properties": _P2_PARTS + ", " + ", ".join(f"""s{i} AS (SELECT k || '/entity_context_by_type:' || (i - 1) tk, t, '{side}' side, '{field}' f, CASE json_type(n->'{side}') WHEN 'ARRAY' THEN (n->'{side}')::JSON[] ELSE [n->'{side}'] END l FROM ty)""" for i, (side, field) in enumerate(_SIDES))
+        + " " + " UNION ALL ".join(f"SELECT tk typed_key, t AS \"type\", side, (g - 1)::INT pos, l[g]->>'property' property, l[g]->>'{field}' AS \"value\" FROM s{i}, LATERAL (SELECT unnest(range(1, len(l) + 1)) g) WHERE json_type(l[g]) = 'OBJECT'" for i, (side, field) in enumerate(_SIDES)),
         "p4_found": f"""WITH RECURSIVE {_LINKS},
  up AS (SELECT c node, c root, 0 depth FROM n WHERE c NOT IN (SELECT c FROM l) UNION SELECT l.c, up.root, up.depth + 1 FROM up JOIN l ON l.p = up.node WHERE up.depth < 500),
  best AS (SELECT node, root, min(depth) depth FROM up GROUP BY ALL),

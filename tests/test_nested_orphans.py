@@ -4,7 +4,6 @@ import datetime as dt
 import json
 import random
 
-
 from pyspark.sql import functions as F
 
 from graphloom.operators.nested import Rule, emit, read_record, read_tag, write_tagged
@@ -33,6 +32,14 @@ def test_tables(spark):
     assert {r["pk"] for r in read_tag(spark, path, "log", {"input": "string"}).collect()} == {"k1", "k3"}
 
 
+def test_objects_as_maps(spark):
+    rule = Rule("r", "", (), children=(Rule("by", "m", ("kind",), key_as="kind", children=(Rule("x", "xs", ("v",), scalar_as="v"),)),))
+    rows = [("a", json.dumps({"m": {"p": {"xs": ["1", None, "2"]}, "q": None, "s": {}, "t": "text"}})), ("b", json.dumps({"m": ["no map"]})), ("c", "{}")]
+    path = write_tagged(emit(spark.createDataFrame(rows, "k string, p string"), "k", "p", rule))
+    assert {(r["pk"], r["kind"]) for r in read_tag(spark, path, "by", {"kind": "string"}).collect()} == {("a/by:0", "p"), ("a/by:2", "s")}
+    assert {(r["pk"], r["parent_pk"], r["v"]) for r in read_tag(spark, path, "x", {"v": "int"}).collect()} == {("a/by:0/x:0", "a/by:0", 1), ("a/by:0/x:2", "a/by:0", 2)}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "log_id string, payload string")
     assert emit(df, "log_id", "payload", Rule("log", "", ("a",))).collect() == []
