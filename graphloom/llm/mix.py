@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..common import cut
+from ..common import bounded_broadcast, cut
 from .tokens import token_counts
 
 #: Rows of a bucket of the two-level running sum.
@@ -66,40 +66,41 @@ def running_tokens(docs: DataFrame, seed: int) -> DataFrame:
     return docs.join(sums, ["source", "bucket"]).withColumn("before", F.col("base") + F.col("inner")).drop("o", "bucket", "base", "inner")
 
 
+def _resampled(values: tuple[float, ...] | list[float], knots: int) -> Column:
+    """Weights at equally spaced times as ``knots`` weights, linear in between."""
+    out = []
+    for k in range(knots):
+        pos = k / (knots - 1) * (len(values) - 1)
+        i = min(int(pos), len(values) - 2)
+        out.append(F.lit(float(values[i] + (values[i + 1] - values[i]) * (pos - i))))
+    return F.array(*out)
+
+
 def schedule_table(plan: DataFrame, schedules: dict[str, list[float]] | None) -> DataFrame:
-    """Each source's schedule as segments ``(t, w, c)``: start, weight and integral at the start.
+    """``(source, area, segments)``: each source's schedule as segments with start, length, weights at both ends and
+    integral at the start.
 
     ``schedules`` gives relative weights at equally spaced times; sources without one rise by ``LATE`` if
-    they are repeated. At each time the other sources' weights are scaled so that all weights sum to 1.
-    The tables are as long as the list of sources and knots.
+    they are repeated. At each time the other sources' weights are scaled so that all weights sum to 1, for which
+    one row of sums, one for each knot, is made of all sources.
     """
-    rows = plan.where("tokens > 0").select("source", "tokens", (F.col("tokens") > F.col("size")).alias("repeated")).collect()  # one row per source of the targets
-    total = sum(r["tokens"] for r in rows) or 1
     given = schedules or {}
     knots = max([len(LATE), *(len(v) for v in given.values())])
-    steps = [k / (knots - 1) for k in range(knots)]
-
-    def at(values: tuple[float, ...] | list[float], x: float) -> float:
-        pos = x * (len(values) - 1)
-        k = min(int(pos), len(values) - 2)
-        return values[k] + (values[k + 1] - values[k]) * (pos - k)
-
-    late = {r["source"]: tuple(given.get(r["source"], LATE)) for r in rows if r["source"] in given or r["repeated"]}
-    rest = sum(r["tokens"] for r in rows if r["source"] not in late) / total
-    out = []
-    for r in rows:
-        share = r["tokens"] / total
-        if r["source"] in late:
-            weights = [share * at(late[r["source"]], x) for x in steps]
-        else:
-            taken = [sum(q["tokens"] / total * at(late[q["source"]], x) for q in rows if q["source"] in late) for x in steps]
-            weights = [max(0.0, 1 - x) * share / rest for x in taken]
-        area, segments = 0.0, []
-        for k in range(knots - 1):
-            segments.append((steps[k], steps[k + 1] - steps[k], weights[k], weights[k + 1], area))
-            area += (weights[k] + weights[k + 1]) / 2 * (steps[k + 1] - steps[k])
-        out.append((r["source"], float(area), segments))
-    return plan.sparkSession.createDataFrame(out, "source string, area double, segments array<struct<t:double,dt:double,w0:double,w1:double,c:double>>")
+    own = F.when(F.col("tokens") > F.col("size"), _resampled(LATE, knots))
+    for source, weights in given.items():
+        own = F.when(F.col("source") == source, _resampled(weights, knots)).otherwise(own)
+    rows = plan.where("tokens > 0").select("source", "tokens", own.alias("own"))
+    held = F.col("own").isNotNull()
+    sums = rows.agg(F.sum("tokens").alias("total"), F.coalesce(F.sum(F.when(~held, F.col("tokens"))), F.lit(0)).alias("rest"), F.array(*[F.coalesce(F.sum(F.col("tokens") * F.get("own", F.lit(k))), F.lit(0.0)) for k in range(knots)]).alias("taken"))
+    rows = rows.crossJoin(F.broadcast(sums))  # one row
+    scaled = F.transform("taken", lambda x: F.greatest(F.lit(0.0), 1 - x / F.col("total")) * F.try_divide("tokens", "rest"))
+    rows = rows.select("source", F.when(held, F.transform("own", lambda w: F.col("tokens") / F.col("total") * w)).otherwise(scaled).alias("w"))
+    dt = 1.0 / (knots - 1)
+    ends = lambda k: (F.get("w", k).alias("w0"), F.get("w", k + 1).alias("w1"))
+    rows = rows.withColumn("areas", F.transform(F.sequence(F.lit(0), F.lit(knots - 2)), lambda k: (F.get("w", k) + F.get("w", k + 1)) / 2 * dt))
+    upto = lambda k: F.aggregate(F.slice("areas", F.lit(1), k), F.lit(0.0), lambda acc, x: acc + x)
+    segments = F.transform(F.sequence(F.lit(0), F.lit(knots - 2)), lambda k: F.struct((k * dt).alias("t"), F.lit(dt).alias("dt"), *ends(k), upto(k).alias("c")))
+    return rows.select("source", upto(F.size("areas")).alias("area"), segments.alias("segments"))
 
 
 def invert(demand_share: Column, segments: Column) -> Column:
@@ -136,7 +137,7 @@ def mixture(docs: DataFrame, targets: DataFrame, file: str | None = None, total:
     ordered = running_tokens(sized, seed).join(plan.where("tokens > 0").select("source", "size", "max_repeats", F.col("tokens").alias("wanted")), "source")
     passes = F.greatest(F.lit(0), F.least(F.col("max_repeats"), F.ceil((F.col("wanted") - F.col("before") - F.col("tokens") / 2) / F.col("size")).cast("int")))
     uses = ordered.withColumn("passes", passes).where("passes > 0").withColumn("repeat", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
-    uses = uses.join(F.broadcast(table), "source")  # one row per source
+    uses = uses.join(bounded_broadcast(table), "source")  # one row per source
     share = (F.col("repeat") * F.col("size") + F.col("before")) / F.col("wanted") * F.col("area")
     placed = uses.select(invert(share, F.col("segments")).alias("position"), "doc_id", "source", "repeat", "tokens")
     placed = cut(placed.repartitionByRange("position", "doc_id", "repeat").sortWithinPartitions("position", "doc_id", "repeat"), "mixture")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm.lookalike import Reader, classes, lattice_text, lattice_table, pairs, same_form
-from graphloom.llm.mix import demand, invert, mixture
+from graphloom.llm.mix import demand, invert, mixture, schedule_table
 
 
 def test_one_form():
@@ -73,6 +73,23 @@ def test_invert(spark):
     assert all(area(r["t"]) == pytest.approx(r["u"], abs=1e-9) for r in rows)
 
 
+def test_schedules_sum_to_one(spark):
+    plan = spark.createDataFrame([("a", 700, 900), ("b", 200, 50), ("c", 100, 400), ("none", 0, 10)], "source string, tokens long, size long")
+    given = {"c": [2.0, 1.0, 0.5, 0.5, 1.0]}
+    rows = {r["source"]: r for r in schedule_table(plan, given).collect()}
+    assert set(rows) == {"a", "b", "c"}
+    for k in range(4):
+        for end in ("w0", "w1"):
+            assert sum(r["segments"][k][end] for r in rows.values()) == pytest.approx(1)
+    assert [s["w0"] for s in rows["c"]["segments"]] == pytest.approx([0.2, 0.1, 0.05, 0.05]) and rows["b"]["segments"][0]["w0"] == pytest.approx(0.1) and rows["b"]["segments"][3]["w1"] == pytest.approx(0.3)
+    for r in rows.values():
+        at = 0.0
+        for s in r["segments"]:
+            assert s["c"] == pytest.approx(at)
+            at += (s["w0"] + s["w1"]) / 2 * s["dt"]
+        assert r["area"] == pytest.approx(at)
+
+
 def test_mixture(spark):
     docs = [(i, "big", "word " * (5 + i % 7)) for i in range(300)] + [(1000 + i, "small", "tiny text here") for i in range(10)] + [(2000, None, "x"), (2001, "other", "x"), (2002, "big", ""), (2003, "big", None), (0, "big", "word " * 5)]
     d = spark.createDataFrame(docs, "doc_id long, source string, text string")
