@@ -66,6 +66,26 @@ def _holds(part: str, whole: str, compat: bool) -> bool:
     return False
 
 
+def _texts(x: object) -> list[str]:
+    """The texts of a list, a lone text as a list; other shapes give none."""
+    return [v if isinstance(v, str) else str(v) for v in (x if isinstance(x, list) else [x]) if v is not None and not isinstance(v, (list, dict))]
+
+
+def _fields(x: object) -> dict:
+    return x if isinstance(x, dict) else {}
+
+
+def _statements(ctx: dict) -> Iterator[tuple[str, str]]:
+    """Property and value of every statement below the types of a context."""
+    for sides in _fields(ctx.get("properties_by_type")).values():
+        for side, field in (("outgoing_object_properties", "object"), ("outgoing_data_properties", "value"), ("incoming_object_properties", "subject")):
+            rows = _fields(sides).get(side)
+            for row in rows if isinstance(rows, list) else [rows]:
+                name = _fields(row).get("property")
+                if isinstance(name, str):
+                    yield name, " ".join(_texts(row.get(field)))
+
+
 def ground_one(answer: str | None, ctx: dict, compat: bool = False) -> dict | None:
     """The mapping of one answer to one context; None for an empty answer.
 
@@ -79,29 +99,27 @@ def ground_one(answer: str | None, ctx: dict, compat: bool = False) -> dict | No
     words = _words(answer)
     text = " ".join(words)
     chunks = [c for n in range(1, 5) for c in _runs(words, n)]
-    desc = ctx.get("class_descriptions") or {}
-    supers = [x for v in (ctx.get("superclasses") or {}).values() for x in v]
+    desc = {k: v for k, v in _fields(ctx.get("class_descriptions")).items() if v is None or isinstance(v, str)}
+    above = ctx.get("superclasses")
+    supers = [x for v in above.values() for x in _texts(v)] if isinstance(above, dict) else _texts(above)
     out: dict = {}
-    for facet, names in (("types", list(ctx.get("types") or [])), ("superclasses", supers), ("equivalent_classes", list(ctx.get("equivalent_classes") or []))):
+    for facet, names in (("types", _texts(ctx.get("types"))), ("superclasses", supers), ("equivalent_classes", _texts(ctx.get("equivalent_classes")))):
         out[facet] = sorted(_mentioned(names, chunks) | _described(desc, set(names), chunks))
     values: dict[str, str] = {}
-    for sides in (ctx.get("properties_by_type") or {}).values():
-        for side, field in (("outgoing_object_properties", "object"), ("outgoing_data_properties", "value"), ("incoming_object_properties", "subject")):
-            for item in sides.get(side) or []:
-                name, value = item["property"], " ".join(_words(item[field] or ""))
-                key = " ".join(_words(name))
-                near = (len(value) > 5 and close(text, value, 0.85)) or (len(key) >= 5 and close(text, key, 0.85))
-                if _holds(value, text, compat) or _holds(key, text, compat) or near:
-                    values[name] = value
+    for name, raw in _statements(ctx):
+        value, key = " ".join(_words(raw)), " ".join(_words(name))
+        near = (len(value) > 5 and close(text, value, 0.85)) or (len(key) >= 5 and close(text, key, 0.85))
+        if _holds(value, text, compat) or _holds(key, text, compat) or near:
+            values[name] = value
     if "collection" in text:  # 'part of a collection' is no statement about parts
         values.pop("isPartOf", None)
-    notes = ctx.get("annotations") or {}
-    label = notes.get("label") or ""
-    out["annotations"] = sorted(_described({label: notes.get("comment")}, {label}, chunks))
+    notes = _fields(ctx.get("annotations"))
+    label, comment = (" ".join(_texts(notes.get(k))) for k in ("label", "comment"))
+    out["annotations"] = sorted(_described({label: comment}, {label}, chunks))
     out["properties"] = sorted(values)
     out["property_values"] = values
-    out["members"] = sorted({m for m in ctx.get("members") or [] if _holds(m, answer, compat)})
-    out["chunk_id"] = sorted({c for c in ctx.get("chunk_id") or [] if _holds(c, answer, compat)})
+    out["members"] = sorted({m for m in _texts(ctx.get("members")) if _holds(m, answer, compat)})
+    out["chunk_id"] = sorted({c for c in _texts(ctx.get("chunk_id")) if _holds(c, answer, compat)})
     return out
 
 

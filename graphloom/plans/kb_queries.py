@@ -68,6 +68,12 @@ def kb_loose_classes(spark, d):
     return tr.loose_classes(_kept(spark, d))
 
 
+def kb_loose_by_axioms(spark, d):
+    """Classes that are loose if only axioms link classes, not the parents of the class tables."""
+    t = tr.from_ontology(_classes(spark, d).drop("parents"), table(spark, d, "tbox_axioms"), table(spark, d, "abox"))
+    return tr.loose_classes(cut(t, "triples"))
+
+
 def kb_entity_axioms(spark, d):
     """Axioms of all individuals and classes."""
     t = _kept(spark, d)
@@ -171,6 +177,16 @@ def kb_surviving_groups(spark, d):
     return out.select("name_key", "class", F.array_join("individuals", "|").alias("individuals"))
 
 
+def kb_surviving_spellings(spark, d):
+    """As ``kb_surviving_groups``, with every individual also under its name in capitals."""
+    abox = table(spark, d, "abox").where("type = 'ClassAssertion'")
+    both = abox.unionByName(abox.withColumn("individual", F.upper("individual")))
+    sets = cut(rs.equivalence_sets(table(spark, d, "tbox_axioms")), "sets")
+    g = cut(rs.name_groups(both, sets, ascii_only=True), "groups")
+    out = rs.surviving_groups(g.withColumnRenamed("names", "individuals"), _actions(g), sets)
+    return out.select("name_key", "class", F.array_join("individuals", "|").alias("individuals"))
+
+
 def _pruned_nodes(spark, d):
     return table(spark, d, "pruned").where("type = 'ClassAssertion'").select(strip_name("individual").alias("name"), "chunk_id").where("name is not null")
 
@@ -372,9 +388,9 @@ def rag_topk(spark, d):
 
 
 _ALL = (
-    kb_triples, kb_stats, kb_node_kinds, kb_pattern, kb_labels, kb_loose_classes, kb_entity_axioms, kb_subclass_types, kb_members_by_class, kb_equivalence_types, kb_domain_types,
+    kb_triples, kb_stats, kb_node_kinds, kb_pattern, kb_labels, kb_loose_classes, kb_loose_by_axioms, kb_entity_axioms, kb_subclass_types, kb_members_by_class, kb_equivalence_types, kb_domain_types,
     kb_range_types, kb_inverse_links, kb_invalid_links, kb_inferred, kb_diff, kb_superclasses, kb_direct_types, kb_same_as, kb_equivalence_sets, kb_same_pairs, kb_name_groups, kb_polysemy,
-    kb_rejected, kb_surviving_groups, kb_prune, kb_kept, kb_cleanup_counts, kb_individuals, kb_individuals_by_chunk, kb_scoped_classes, kb_accumulate, kb_merged, kb_apply_equivalences,
+    kb_rejected, kb_surviving_groups, kb_surviving_spellings, kb_prune, kb_kept, kb_cleanup_counts, kb_individuals, kb_individuals_by_chunk, kb_scoped_classes, kb_accumulate, kb_merged, kb_apply_equivalences,
     kb_degrees, kb_compare, kb_property_values, kb_schema_classes, kb_schema_properties, kb_turtle_roundtrip, entity_token_scores, entity_candidates, entity_resolution, entity_enriched,
     context_properties, context_provenance, context_class_descriptions, context_property_descriptions, context_members, context_by_question_type, context_counts,
     name_similarity, name_clusters, rag_topk,
@@ -464,6 +480,8 @@ def oracle_sql() -> dict[str, str]:
         "kb_pattern": _w(_T) + f"SELECT s FROM t WHERE p = {_TYPE} AND o = {_IND}",
         "kb_labels": _w(_T) + f"SELECT q.s, coalesce(l, {_READ('q.s')}) \"label\" FROM (SELECT DISTINCT s FROM t WHERE p = {_TYPE} AND o IN ({_CLS}, {_IND}, {_OP}, {_DP})) q LEFT JOIN (SELECT s, min(o) l FROM t WHERE p = {_LAB} GROUP BY s) z ON z.s = q.s",
         "kb_loose_classes": _w(_T) + f"SELECT DISTINCT s FROM t WHERE p = {_TYPE} AND o = {_CLS} AND s NOT IN (SELECT s FROM t WHERE p = {_SUB} UNION SELECT o FROM t WHERE p IN ({_SUB}, {_TYPE}))",
+        "kb_loose_by_axioms": _w(_T) + f"""SELECT DISTINCT {_X}(c) s FROM c0 WHERE c IS NOT NULL AND {_X}(c) NOT IN (SELECT unnest([{_X}(sb), {_X}(sp)]) FROM ax WHERE ty = 'SubClassOf' AND sb IS NOT NULL AND sp IS NOT NULL)
+ AND {_X}(c) NOT IN (SELECT o FROM t WHERE p = {_TYPE})""",
         "kb_entity_axioms": _w(_T, _NODES) + f"""SELECT DISTINCT q.s, category, q.p, q.o FROM (
  SELECT s, 'ClassAxiom' category, p, o FROM t WHERE p IN ({_SUB}, {_EQ}) OR (p = {_TYPE} AND o <> {_IND})
  UNION ALL SELECT s, 'ObjectPropertyAssertion', p, o FROM t WHERE p IN (SELECT s FROM t WHERE p = {_TYPE} AND o = {_OP})
@@ -491,6 +509,9 @@ def oracle_sql() -> dict[str, str]:
         "kb_rejected": _w(_GROUPS, f"""n0 AS (SELECT {_n('individual')} nm, {_n('class')} c, chunk_id FROM abox WHERE type = 'ClassAssertion')""", recursive=True)
         + "SELECT DISTINCT nm \"name\", chunk_id FROM n0 LEFT JOIN er ON er.x = n0.c WHERE nm IS NOT NULL AND regexp_matches(coalesce(er.y, c), '[02468]$') AND lower(regexp_replace(nm, '[^a-zA-Z0-9]+', '', 'g')) <> ''",
         "kb_surviving_groups": _w(_GROUPS, """bd AS (SELECT DISTINCT nm, c FROM gr WHERE k <> '' AND regexp_matches(c, '[02468]$')),
+ sv AS (SELECT k, c, nm FROM gr WHERE k <> '' AND NOT EXISTS (SELECT 1 FROM bd WHERE bd.nm = gr.nm AND (bd.c = gr.c OR EXISTS (SELECT 1 FROM er WHERE er.x = gr.c AND er.y = bd.c))))""", recursive=True)
+        + "SELECT k name_key, c \"class\", string_agg(DISTINCT nm, '|' ORDER BY nm) individuals FROM sv GROUP BY k, c HAVING count(DISTINCT nm) > 1",
+        "kb_surviving_spellings": _w(_GROUPS.replace("FROM abox WHERE type = 'ClassAssertion')", "FROM (SELECT type, individual, class FROM abox UNION ALL SELECT type, upper(individual), class FROM abox) WHERE type = 'ClassAssertion')"), """bd AS (SELECT DISTINCT nm, c FROM gr WHERE k <> '' AND regexp_matches(c, '[02468]$')),
  sv AS (SELECT k, c, nm FROM gr WHERE k <> '' AND NOT EXISTS (SELECT 1 FROM bd WHERE bd.nm = gr.nm AND (bd.c = gr.c OR EXISTS (SELECT 1 FROM er WHERE er.x = gr.c AND er.y = bd.c))))""", recursive=True)
         + "SELECT k name_key, c \"class\", string_agg(DISTINCT nm, '|' ORDER BY nm) individuals FROM sv GROUP BY k, c HAVING count(DISTINCT nm) > 1",
         "kb_prune": _w(*_PRUNE) + "SELECT DISTINCT assertion_id, type FROM fallen",

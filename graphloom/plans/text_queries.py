@@ -16,7 +16,7 @@ from ..operators import ground as gr
 from ..operators import questions as qs
 from ..operators.nested import read_record
 from .answer import parse_questions
-from .dealt import _P2
+from .dealt import _P2, _P2_PARTS, _SIDES
 from .preprocess import chunk_pages, clean_pages
 
 
@@ -205,6 +205,20 @@ def ground_answers(spark, d):
     return _grounded(l, "entity_context").unionByName(_grounded(other, "object_context"))
 
 
+def ground_spoken(spark, d):
+    """Answers that speak of all that their context states, mapped back to it: nothing is lost on the way."""
+    l = _logs(spark, d).where("entity_context is not null")
+    side = "array<struct<property:string,object:string,value:string,subject:string>>"
+    typed = "map<string,struct<" + ",".join(f"{x}:{side}" for x in ("outgoing_object_properties", "outgoing_data_properties", "incoming_object_properties")) + ">>"
+    rows = F.map_values(F.from_json("entity_context", f"properties_by_type {typed}")["properties_by_type"])
+    said = lambda x: F.transform(x, lambda i: F.concat_ws(" ", i["property"], i["object"], i["value"], i["subject"]))
+    none = F.array().cast("array<string>")
+    facts = F.flatten(F.transform(rows, lambda t: F.concat(*[F.coalesce(said(t[x]), none) for x in ("outgoing_object_properties", "outgoing_data_properties", "incoming_object_properties")])))
+    spoken = F.array_join(F.concat(*[F.coalesce(x, none) for x in (F.col("types"), F.col("superclasses"), facts)]), " ; ")
+    m = gr.ground(l.select("log_id", spoken.alias("spoken"), "entity_context"), "log_id", "spoken", "entity_context")
+    return gr.mapping_triples(m.join(l.select("log_id", "entity"), "log_id"), "log_id", "entity")
+
+
 def _grounded(logs: DataFrame, context: str) -> DataFrame:
     l = logs.where(F.col(context).isNotNull())
     fields = [*gr.FACETS, "property_values"]
@@ -273,7 +287,7 @@ def eval_within(spark, d):
 
 _ALL = (
     text_keys, uri_roundtrip, token_counts, text_ngrams, text_tidy, text_untagged, text_lists, text_noise, text_blocks, text_cut_words, text_sections, text_residue, page_attributes, page_report,
-    chunk_neighbours, chunk_parts, chunk_documents, question_labels, question_abstentions, question_parse, json_repair, template_fill, sample_questions, ground_exact, ground_answers,
+    chunk_neighbours, chunk_parts, chunk_documents, question_labels, question_abstentions, question_parse, json_repair, template_fill, sample_questions, ground_exact, ground_answers, ground_spoken,
     eval_pass_rates, eval_resolution, eval_grounding, eval_labels, eval_pivot, eval_within,
 )
 
@@ -376,5 +390,10 @@ def oracle_sql() -> dict[str, str]:
  k AS (SELECT *, flatten(list_transform(range(1, 5), lambda z: list_transform(range(1, len(w) - z + 2), lambda i: array_to_string(w[i:i + z - 1], ' ')))) ks FROM w)
  SELECT log_id, array_to_string(list_sort(list_distinct(list_filter(types, lambda x: list_contains(ks, trim(regexp_replace(lower(x), '\s+', ' ', 'g')))))), '|') types,
  array_to_string(list_sort(list_distinct(list_filter(supers, lambda x: list_contains(ks, trim(regexp_replace(lower(x), '\s+', ' ', 'g')))))), '|') superclasses FROM k""",
+        "ground_spoken": _L + ", " + _P2_PARTS.removeprefix(_P2).lstrip(", \n") + f""", one AS (SELECT log_id, min(k) k FROM cx GROUP BY log_id),
+ pr AS ({" UNION ALL ".join(f"SELECT k, i * 1000000 + {n} * 100000 + g nr, l[g]->>'property' relation, l[g]->>'{f}' v FROM (SELECT k, i, CASE json_type(n->'{x}') WHEN 'ARRAY' THEN (n->'{x}')::JSON[] ELSE [n->'{x}'] END l FROM ty), LATERAL (SELECT unnest(range(1, len(l) + 1)) g) WHERE json_type(l[g]) = 'OBJECT'" for n, (x, f) in enumerate(_SIDES))}),
+ pv AS (SELECT k, relation, arg_max(trim(regexp_replace(lower(v), '\\s+', ' ', 'g')), nr) AS "object" FROM pr WHERE relation IS NOT NULL GROUP BY k, relation)
+ SELECT DISTINCT log_id, entity, 'be' relation, unnest(list_concat(coalesce(types, []), coalesce(supers, []))) AS "object" FROM lx WHERE ec IS NOT NULL AND json_type(ec) = 'OBJECT'
+ UNION ALL SELECT one.log_id, entity, pv.relation, pv."object" FROM one JOIN pv ON pv.k = one.k JOIN lx ON lx.log_id = one.log_id WHERE pv."object" <> ''""",
         "eval_within": _L + "SELECT log_id, len(types) > 0 inside, coalesce(len(list_filter(types, lambda x: NOT list_contains(coalesce(supers, []), x))) = 0, FALSE) held FROM lx WHERE types IS NOT NULL",
     }
