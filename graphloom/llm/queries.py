@@ -65,7 +65,7 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Groups whose text is over the limit, so has more than one piece."""
-    rows = split_texts(_limited_groups(spark, d).where("group_id is not null"), "group_id", "text", "most", "shared")
+    rows = split_texts(_limited_groups(spark, d).where("group_id is not null"), "group_id", "text", "most", "shared", with_text=False)
     return rows.where("piece_no = 0 and n_pieces > 1").select("group_id").distinct()
 
 

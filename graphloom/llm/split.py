@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -14,26 +16,34 @@ from pyspark.sql import functions as F
 PIECES = "key string, piece_no int, n_pieces int, n_tokens int, overlap int, start_char int, end_char int, boundary string, text string"
 LEVELS = ("word", "sentence", "line", "paragraph")
 
-_TOKEN = regex.compile(r"\P{White_Space}+")
+#: Runs of characters other than those with the Unicode property White_Space (fixed values).
+_TOKEN = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _SENTENCE_END = regex.compile(r"[.!?。！？…][\p{Pe}\p{Pf}\"'*_]*$")
 _BREAK = regex.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
 
 
-def boundary_levels(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
-    """The kind of boundary after each token: 3 blank line, 2 line end, 1 sentence end, 0 between words."""
-    out = np.zeros(len(spans), dtype=np.int8)
-    for i in range(len(spans) - 1):
-        breaks = len(_BREAK.findall(text, spans[i][1], spans[i + 1][0]))
-        if breaks:
-            out[i] = 3 if breaks > 1 else 2
-        elif _SENTENCE_END.search(text, *spans[i]):
+def boundary_levels(text: str, tokens: list[str], ends: np.ndarray) -> np.ndarray:
+    """The kind of boundary after each token: 3 blank line, 2 line end, 1 sentence end, 0 between words and after
+    the last one. ``ends`` are the tokens' ends in the text."""
+    out = np.zeros(len(tokens), dtype=np.int8)
+    for i, t in enumerate(tokens):
+        if not t[-1].isalnum() and _SENTENCE_END.search(t):
             out[i] = 1
+    at = np.fromiter((m.start() for m in _BREAK.finditer(text)), dtype=np.int64)
+    breaks = np.bincount(np.searchsorted(ends, at, side="right"), minlength=len(tokens) + 1)[1 : len(tokens) + 1]
+    out[breaks == 1], out[breaks > 1] = 2, 3
+    out[-1:] = 0
     return out
 
 
+@lru_cache(maxsize=100_000)
+def _hash(token: str) -> int:
+    return crc32(token.encode())
+
+
 def rolling_hashes(tokens: list[str], window: int) -> np.ndarray:
     """Polynomial hash of the ``window`` tokens that end at each token."""
-    h = np.fromiter((crc32(t.encode()) for t in tokens), dtype=np.uint64, count=len(tokens))
+    h = np.fromiter(map(_hash, tokens), dtype=np.uint64, count=len(tokens))
     out = np.zeros(len(tokens), dtype=np.uint64)
     factor = np.uint64(1)
     for back in range(min(window, len(tokens))):
@@ -79,8 +89,9 @@ def split_text(text: str, max_tokens: int | None, overlap: int | None, window: i
         return [(0, 1, n, 0, 0, len(text), "end", text)]
     limit = max(1, max_tokens)
     shared = min(max(0, overlap or 0), limit - 1)
-    levels = boundary_levels(text, spans)
-    hashes = rolling_hashes([text[a:b] for a, b in spans], window)
+    words = [text[a:b] for a, b in spans]
+    levels = boundary_levels(text, words, np.array([b for _, b in spans]))
+    hashes = rolling_hashes(words, window)
     cuts = cut_points(levels, hashes, limit, limit - shared, min_part)
     out, start = [], 0
     for no, end in enumerate([*cuts, n - 1]):
@@ -92,10 +103,11 @@ def split_text(text: str, max_tokens: int | None, overlap: int | None, window: i
     return out
 
 
-def split_texts(df: DataFrame, key: str, text: str, max_tokens: str, overlap: str) -> DataFrame:
+def split_texts(df: DataFrame, key: str, text: str, max_tokens: str, overlap: str, with_text: bool = True) -> DataFrame:
     """Every text of ``df`` in pieces, see ``split_text``; limits stand in columns of each row.
 
-    Null texts count as ''. Pieces depend on their own row only, so nothing is shuffled here.
+    Null texts count as ''; without ``with_text`` the pieces' texts are null. Pieces depend on their own row only,
+    so nothing is shuffled here.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,7 +115,7 @@ def split_texts(df: DataFrame, key: str, text: str, max_tokens: str, overlap: st
         for batch in batches:
             rows = []
             for k, t, m, o in zip(batch["key"], batch["text"], batch["m"], batch["o"]):
-                rows.extend((k, *piece) for piece in split_text(t, None if pd.isna(m) else int(m), None if pd.isna(o) else int(o)))
+                rows.extend((k, *piece[:-1], piece[-1] if with_text else None) for piece in split_text(t, None if pd.isna(m) else int(m), None if pd.isna(o) else int(o)))
             yield pd.DataFrame(rows, columns=names)
 
     cols = [F.col(key).cast("string").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(max_tokens).cast("int").alias("m"), F.col(overlap).cast("int").alias("o")]
