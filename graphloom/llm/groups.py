@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..common import cut, cut_counted
+from ..common import cut, cut_counted, drop_cut, stack
 from ..operators.components import star_components
 from ..operators.ids import number_names
 
@@ -16,8 +14,9 @@ def _rank(col: Column, rnd: int) -> Column:
     return F.struct(F.xxhash64(F.lit(rnd), col), col)
 
 
-def contract(edges: DataFrame, rnd: int) -> DataFrame:
-    """The vertices to remove from ``edges(u, v)``, u < v: ``(x, a, b)`` with neighbours a and b (b null: one).
+def contract(edges: DataFrame, rnd: int) -> tuple[DataFrame, int]:
+    """The vertices to remove from ``edges(u, v)``, u < v: ``(x, a, b)`` with neighbours a and b (b null: one), as a
+    written table, and their number.
 
     All vertices of degree one and two are candidates; one is chosen if its rank in this round is above
     those of its candidate neighbours. So all leaves of a hub go at once, and a chain loses at least
@@ -30,7 +29,9 @@ def contract(edges: DataFrame, rnd: int) -> DataFrame:
     rows = cand.join(other.withColumnRenamed("o", "oa"), F.col("a") == F.col("oa"), "left").join(other.withColumnRenamed("o", "ob"), F.col("b") == F.col("ob"), "left")
     own = _rank(F.col("x"), rnd)
     free = lambda o: F.col(o).isNull() | (own > _rank(F.col(o), rnd))
-    return rows.where(free("oa") & free("ob")).select("x", "a", "b")
+    out = cut_counted(rows.where(free("oa") & free("ob")).select("x", "a", "b"), "removed")
+    drop_cut(cand)
+    return out
 
 
 def groups_of_ids(edges: DataFrame, min_removed: float = 0.02) -> DataFrame:
@@ -40,36 +41,37 @@ def groups_of_ids(edges: DataFrame, min_removed: float = 0.02) -> DataFrame:
     is the reduced core, solved by star contraction. Removed vertices then take the root of the
     neighbour that they had, last round first. Each round's tables are written to the shared folder.
     """
-    cur, n = cut_counted(
+    ends, n = cut_counted(
         edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
-    ends = cur
+    cur = ends
     rounds: list[DataFrame] = []
     while n:
-        gone, m = cut_counted(contract(cur, len(rounds)), "removed")
-        if m < max(1, min_removed * n):
-            if m == 0:
-                break
+        gone, m = contract(cur, len(rounds))
+        if not m:
+            break
         rounds.append(gone)
         out = gone.select("x")
         kept = cur.join(out.withColumnRenamed("x", "u"), "u", "left_anti").join(out.withColumnRenamed("x", "v"), "v", "left_anti").select("u", "v")
         bridged = gone.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        cur, n2 = cut_counted(kept.unionByName(bridged).distinct(), "links")
-        small, n = m < min_removed * n, n2
-        if small:
+        before, few = cur, m < min_removed * n
+        cur, n = cut_counted(kept.unionByName(bridged).distinct(), "links")
+        if before is not ends:
+            drop_cut(before)
+        if few:
             break
-    core = cut(star_components(cur), "core") if n else None
-    removed = reduce(DataFrame.unionByName, [g.select("x") for g in rounds]) if rounds else None
     all_ids = ends.select(F.col("u").alias("id")).union(ends.select("v")).distinct()
-    alone = all_ids if removed is None else all_ids.join(removed.withColumnRenamed("x", "id"), "id", "left_anti")
-    if core is not None:
-        alone = alone.join(core.select(F.col("node").alias("id")), "id", "left_anti")
-    known = [cut(alone.select("id", F.col("id").alias("root")), "roots")]
-    if core is not None:
-        known.append(core.select(F.col("node").alias("id"), F.col("component").alias("root")))
+    alone = all_ids.join(stack(rounds).select(F.col("x").alias("id")), "id", "left_anti") if rounds else all_ids
+    known = []
+    if n:
+        core = star_components(cur).select(F.col("node").alias("id"), F.col("component").alias("root"))
+        known.append(cut(core, "core"))
+        alone = alone.join(known[0].select("id"), "id", "left_anti")
+    known.append(cut(alone.select("id", F.col("id").alias("root")), "roots"))
     for gone in reversed(rounds):
-        have = reduce(DataFrame.unionByName, known)
+        have = stack(known)
         known.append(cut(gone.join(have, gone["a"] == have["id"]).select(F.col("x").alias("id"), "root"), "roots"))
-    return reduce(DataFrame.unionByName, known)
+    drop_cut(ends, *rounds)
+    return stack(known)
 
 
 def group_names(sets: DataFrame) -> DataFrame:
