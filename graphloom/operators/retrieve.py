@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from dataclasses import dataclass
 from functools import reduce
 from urllib.parse import unquote
 
@@ -138,9 +139,26 @@ def resolve(entities: DataFrame, names: DataFrame, decisions: DataFrame | None =
 
 # ------------------------------------------------------------------ context
 
-def twins_of(t: DataFrame, entities: DataFrame) -> DataFrame:
+@dataclass
+class Graph:
+    """A graph with what every context needs of it, computed once: names of entities, closure of the class graph, direct
+    types, and sets of individuals that are the same."""
+
+    triples: DataFrame
+    names: DataFrame
+    above: DataFrame
+    direct: DataFrame
+    same: DataFrame
+
+
+def prepared(t: DataFrame) -> Graph:
+    above = cut(subclass_closure(t), "closure")
+    return Graph(t, cut(entity_labels(t), "labels"), above, cut(direct_types(t, above=above), "direct-types"), cut(same_as_sets(t), "same-as"))
+
+
+def twins_of(t: DataFrame, entities: DataFrame, same: DataFrame | None = None) -> DataFrame:
     """``(uri, twin)``: each entity with itself and all that is the same as it."""
-    same = cut(same_as_sets(t), "same-as")
+    same = cut(same_as_sets(t), "same-as") if same is None else same
     e = entities.select("uri").distinct()
     group = e.join(same.select(F.col("node").alias("uri"), "component"), "uri")
     more = group.join(same.select(F.col("node").alias("twin"), "component"), "component").select("uri", "twin")
@@ -167,18 +185,19 @@ def applicable(t: DataFrame, entities: DataFrame, twins: DataFrame | None = None
     return out.unionByName(inc).distinct().join(dt, "uri").join(fits, ["type", "property"]).select("uri", "type", "direction", "property", "other", "dtype")
 
 
-def context(t: DataFrame, entities: DataFrame, scope: str = "entity") -> DataFrame:
-    """One row per entity with the twelve fields of its context; decoded names, sorted.
+def context(t: DataFrame, entities: DataFrame, scope: str = "entity", graph: Graph | None = None) -> DataFrame:
+    """One row per entity with the twelve fields of its context; decoded names, sorted. ``graph`` is ``prepared(t)`` if it is
+    at hand, as for a stream of questions on one graph.
 
     ``properties_by_type`` maps a direct type to arrays of structs for outgoing object and data and incoming
     object properties.
     """
     e = entities.select("uri").distinct()
-    twins = twins_of(t, e)
+    twins = twins_of(t, e, graph.same if graph else None)
     about = cut(twins.join(t, F.col("twin") == F.col("s")).select("uri", "twin", "p", "o", "o_kind", "o_dtype"), "about")
     name = readable(F.col("o"))
-    sup = cut(subclass_closure(t), "closure")
-    dt = cut(direct_types(t, above=sup).join(e, F.col("s") == F.col("uri")).select("uri", F.col("o").alias("type")), "direct-types")
+    sup = graph.above if graph else cut(subclass_closure(t), "closure")
+    dt = cut((graph.direct if graph else direct_types(t, above=sup)).join(e, F.col("s") == F.col("uri")).select("uri", F.col("o").alias("type")), "direct-types")
     types = dt.groupBy("uri").agg(F.array_sort(F.collect_set(readable(F.col("type")))).alias("types"))
     above = dt.join(sup, F.col("type") == F.col("src")).groupBy("uri", readable(F.col("type")).alias("k")).agg(F.array_sort(F.collect_set(readable(F.col("dst")))).alias("v"))
     is_class = t.where((F.col("p") == RDF_TYPE) & (F.col("o") == CLASS)).select(F.col("s").alias("uri")).distinct()

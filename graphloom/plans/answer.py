@@ -30,14 +30,15 @@ def parse_questions(questions: DataFrame, provider: Provider) -> DataFrame:
     return q.withColumn("status", status)
 
 
-def fetch_context(parsed: DataFrame, triples: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
-    """Parsed questions with the context of their entity, and of their object if they compare."""
+def fetch_context(parsed: DataFrame, triples: DataFrame, decisions: DataFrame | None = None, graph: rt.Graph | None = None) -> DataFrame:
+    """Parsed questions with the context of their entity, and of their object if they compare. ``graph``: see
+    ``retrieve.prepared``."""
     t = triples
-    names = cut(rt.entity_labels(t), "labels")
+    names = graph.names if graph else cut(rt.entity_labels(t), "labels")
     ok = parsed.where("status = 'ok'")
     wanted = ok.select("entity").unionByName(ok.where("question_type = 'comparative'").select(F.col("object").alias("entity"))).where("entity is not null").distinct()
     found = cut(rt.resolve(wanted, names, decisions), "resolved")
-    ctx = cut(rt.context(t, found.where("uri is not null").select("uri").distinct()), "contexts")
+    ctx = cut(rt.context(t, found.where("uri is not null").select("uri").distinct(), graph=graph), "contexts")
     full = F.struct(*[c for c in ctx.columns if c != "uri"])
     ent = found.join(ctx.select("uri", full.alias("entity_context")), "uri", "left").select("entity", F.col("status").alias("entity_status"), "uri", "entity_context")
     obj = ent.select(F.col("entity").alias("object"), F.col("uri").alias("object_uri"), F.col("entity_context").alias("object_context"))
@@ -46,9 +47,9 @@ def fetch_context(parsed: DataFrame, triples: DataFrame, decisions: DataFrame |
     return out.withColumn("status", status).withColumn("object_context", F.when(F.col("question_type") == "comparative", F.col("object_context")))
 
 
-def answer(questions: DataFrame, triples: DataFrame, provider: Provider, decisions: DataFrame | None = None, compat: bool = False) -> DataFrame:
+def answer(questions: DataFrame, triples: DataFrame, provider: Provider, decisions: DataFrame | None = None, compat: bool = False, graph: rt.Graph | None = None) -> DataFrame:
     """Questions ``(key, question)`` with answer, reasoning, mappings of both contexts and a status."""
-    rows = cut(fetch_context(cut(parse_questions(questions, provider), "parsed"), triples, decisions), "fetched")
+    rows = cut(fetch_context(cut(parse_questions(questions, provider), "parsed"), triples, decisions, graph), "fetched")
     told = predict(rows.withColumn("context", F.to_json("entity_context")), "answer", provider)
     told = cut(told.withColumn("answer", F.col("result.answer")).withColumn("reasoning", F.col("result.reasoning")).drop("result", "by", "context"), "answers")
     fields = [*gr.FACETS, "property_values"]

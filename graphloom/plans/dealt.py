@@ -253,7 +253,7 @@ def oracle_sql() -> dict[str, str]:
         "p2_properties": _P2_PARTS + ", " + ", ".join(f"""s{i} AS (SELECT k || '/entity_context_by_type:' || (i - 1) tk, t, '{side}' side, '{field}' f, CASE json_type(n->'{side}') WHEN 'ARRAY' THEN (n->'{side}')::JSON[] ELSE [n->'{side}'] END l FROM ty)""" for i, (side, field) in enumerate(_SIDES))
         + " " + " UNION ALL ".join(f"SELECT tk typed_key, t AS \"type\", side, (g - 1)::INT pos, l[g]->>'property' property, l[g]->>'{field}' AS \"value\" FROM s{i}, LATERAL (SELECT unnest(range(1, len(l) + 1)) g) WHERE json_type(l[g]) = 'OBJECT'" for i, (side, field) in enumerate(_SIDES)),
         "p4_found": f"""WITH RECURSIVE {_LINKS},
- up AS (SELECT c node, c root, 0 depth FROM n WHERE c NOT IN (SELECT c FROM l) UNION SELECT l.c, up.root, up.depth + 1 FROM up JOIN l ON l.p = up.node WHERE up.depth < 500),
+ up AS (SELECT c node, c root, 0 depth FROM n WHERE c NOT IN (SELECT c FROM l) UNION SELECT l.c, up.root, up.depth + 1 FROM up JOIN l ON l.p = up.node WHERE up.depth < (SELECT count(*) FROM n)),
  best AS (SELECT node, root, min(depth) depth FROM up GROUP BY ALL),
  anc AS (SELECT c, p FROM l UNION SELECT anc.c, l.p FROM anc JOIN l ON l.c = anc.p)
  SELECT node "class", root, depth::INT depth FROM best
@@ -264,8 +264,10 @@ def oracle_sql() -> dict[str, str]:
  best AS (SELECT node, root, min({{'k': len(path), 'p': path}}) b FROM up GROUP BY ALL)
  SELECT node "class", root, (b.k - 1)::INT depth, array_to_string(b.p, ' > ') path FROM best""",
         "p4_descendants": f"""WITH RECURSIVE {_LINKS},
- down AS (SELECT p src, c dst, 1 steps FROM l UNION SELECT down.src, l.c, down.steps + 1 FROM down JOIN l ON l.p = down.dst WHERE down.steps < 120)
+ down AS (SELECT p src, c dst, 1 steps FROM l UNION SELECT down.src, l.c, down.steps + 1 FROM down JOIN l ON l.p = down.dst WHERE down.steps < (SELECT count(*) FROM n))
  SELECT src "class", dst descendant, min(steps)::INT depth FROM down GROUP BY ALL""",
+        "p4_subtrees": f"""WITH RECURSIVE {_LINKS}, anc AS (SELECT c, p FROM l UNION SELECT anc.c, l.p FROM anc JOIN l ON l.c = anc.p)
+ SELECT n.c "class", count(anc.c) descendants FROM n LEFT JOIN anc ON anc.p = n.c GROUP BY n.c""",
         "p6_found": _EVENTS + "SELECT DISTINCT assertion_id, ref_field, period FROM o",
         "p6_report": _EVENTS + "SELECT ref_field, period, count(*) orphans, count(DISTINCT n) missing_names FROM o GROUP BY ALL",
     }

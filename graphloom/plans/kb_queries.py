@@ -542,6 +542,15 @@ def oracle_sql() -> dict[str, str]:
  fit AS (SELECT DISTINCT x.o ty, dom.p FROM (SELECT DISTINCT dt.o FROM dt JOIN en ON en.uri = dt.s) x JOIN dom ON dom.c = x.o OR EXISTS (SELECT 1 FROM clo WHERE a = x.o AND b = dom.c)),
  st AS (SELECT DISTINCT uri, CASE WHEN o_kind = 'iri' THEN 'out_object' ELSE 'out_data' END direction, p, o other, o_dtype FROM tw JOIN t ON t.s = tw.twin UNION SELECT uri, 'in_object', p, s, NULL FROM tw JOIN t ON t.o = tw.twin AND o_kind = 'iri')""", recursive=True)
         + "SELECT st.uri, dt.o \"type\", direction, st.p property, other FROM st JOIN dt ON dt.s = st.uri JOIN fit ON fit.ty = dt.o AND fit.p = st.p",
+        "context_counts": _w(_T, _TY, _CLO, _NODES, _SAMESET, _DIRECT, f"""dom AS (SELECT DISTINCT s p, o c FROM t WHERE p = {_DOM}),
+ fit AS (SELECT DISTINCT x.o ty, dom.p FROM (SELECT DISTINCT dt.o FROM dt JOIN en ON en.uri = dt.s) x JOIN dom ON dom.c = x.o OR EXISTS (SELECT 1 FROM clo WHERE a = x.o AND b = dom.c)),
+ st AS (SELECT DISTINCT uri, CASE WHEN o_kind = 'iri' THEN 'out_object' ELSE 'out_data' END direction, p, o other, o_dtype FROM tw JOIN t ON t.s = tw.twin UNION SELECT uri, 'in_object', p, s, NULL FROM tw JOIN t ON t.o = tw.twin AND o_kind = 'iri')""", f"""ap AS (SELECT DISTINCT st.uri, {_READ('dt.o')} k FROM st JOIN dt ON dt.s = st.uri JOIN fit ON fit.ty = dt.o AND fit.p = st.p),
+ cn AS (SELECT DISTINCT s FROM t WHERE p = {_TYPE} AND o = {_CLS}), sk AS (SELECT dt.s uri, {_READ('dt.o')} k FROM dt JOIN clo ON clo.a = dt.o UNION SELECT t.s, {_READ('t.s')} FROM t JOIN cn ON cn.s = t.s WHERE p = {_SUB}),
+ tp AS (SELECT s uri, count(DISTINCT {_READ('o')}) n FROM dt GROUP BY s), su AS (SELECT uri, count(*) n FROM sk GROUP BY uri), pc AS (SELECT uri, count(*) n FROM ap GROUP BY uri),
+ tt AS (SELECT uri, count(DISTINCT CASE WHEN p = {_EQ} THEN {_READ('o')} END) ne, count(DISTINCT CASE WHEN p = {_CHUNK} THEN o END) nc FROM tw JOIN t ON t.s = tw.twin GROUP BY uri),
+ me AS (SELECT o uri, count(DISTINCT {_READ('t.s')}) n FROM t JOIN cn ON cn.s = t.o WHERE p = {_TYPE} GROUP BY o), lb AS (SELECT s, min(o) l FROM t WHERE p = {_LAB} GROUP BY s)""", recursive=True)
+        + f"""SELECT en.uri, coalesce(lb.l, {_READ('en.uri')}) AS "label", coalesce(tp.n, 0)::INT n_types, coalesce(su.n, 0)::INT n_superclasses, coalesce(tt.ne, 0)::INT n_equivalent_classes, coalesce(pc.n, 0)::INT n_properties_by_type,
+ coalesce(tt.nc, 0)::INT n_chunk_id, coalesce(me.n, 0)::INT n_members FROM en LEFT JOIN lb ON lb.s = en.uri LEFT JOIN tp ON tp.uri = en.uri LEFT JOIN su ON su.uri = en.uri LEFT JOIN pc ON pc.uri = en.uri LEFT JOIN tt ON tt.uri = en.uri LEFT JOIN me ON me.uri = en.uri""",
         "context_provenance": _w(_T, _TY, _CLO, _NODES, _SAMESET, _DIRECT, recursive=True) + f"""SELECT uri, coalesce((SELECT string_agg(DISTINCT o, '|' ORDER BY o) FROM tw JOIN t ON t.s = tw.twin AND t.p = {_CHUNK} WHERE tw.uri = en.uri), '') chunk_ids,
  coalesce((SELECT string_agg(DISTINCT {_READ('o')}, '|' ORDER BY {_READ('o')}) FROM dt WHERE dt.s = en.uri), '') types FROM en""",
         "context_class_descriptions": _w(_T, _NODES, _SAMESET, recursive=True) + f"SELECT DISTINCT uri, {_READ('t.o')} \"class\", (SELECT min(o) FROM t q WHERE q.s = t.o AND q.p = {_COM}) description FROM tw JOIN t ON t.s = tw.twin AND t.p = {_TYPE}",

@@ -364,6 +364,8 @@ def oracle_sql() -> dict[str, str]:
         "question_labels": _L + f"""SELECT log_id, qt, {rel} relation, {_case(forms, 'qt')} forms, {form} form, CASE WHEN {_case(forms, 'qt')} NOT LIKE '%|%' THEN {_case(forms, 'qt')} END given,
  coalesce({_case(kind, rel)}, 'Unknown') kind, coalesce({_case(base, rel)}, CASE WHEN {rel} LIKE '%be%' THEN 'isAbout' END, 'unknown') base, qt IN ('definition', 'unknown', 'quantification') OR {form} = 'list' OR (qt = 'capability' AND {form} = 'value') no_object FROM lx""",
         "question_abstentions": _L + "SELECT log_id, contains(lower(coalesce(answer, '')), 'can''t answer') OR trim(coalesce(answer, '')) = '' abstains FROM lx",
+        "json_repair": r"""WITH p AS (SELECT DISTINCT log_id, trim(payload) p FROM inference_logs), h AS (SELECT p, CASE WHEN contains(p, '}') THEN left(p, length(p) - instr(reverse(p), '}') + 1) END h FROM p)
+ SELECT CASE WHEN p IS NULL OR p = '' THEN 'empty' WHEN json_valid(p) THEN 'whole' WHEN json_valid(h) OR json_valid(h || ']') OR json_valid(h || '}') OR json_valid(h || ']}') THEN 'repaired' ELSE 'lost' END kind, count(*) n FROM h GROUP BY 1""",
         "template_fill": _L + "SELECT log_id, replace(replace(input, 'study', 'clinic'), 'clinic', 'ward') filled FROM lx",
         "sample_questions": _L + "SELECT log_id, question_type FROM (SELECT log_id, question_type, row_number() OVER (PARTITION BY question_type ORDER BY log_id) r FROM lx WHERE question_type IS NOT NULL) WHERE r <= 3",
         "eval_pass_rates": _L + f""", k AS (SELECT coalesce(site, '(none)') "domain", coalesce(question_type, 'unknown') tier, unnest([{{'c': 'type_known', 'p': coalesce(question_type IN ({_SQL_TYPES}), FALSE)}},

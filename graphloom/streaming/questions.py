@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..model import Recorded, Remote, Rules
+from ..operators.retrieve import prepared
 from ..plans.answer import answer
 from ..sources.files import write_logs
 
 
 def answer_stream(questions: DataFrame, triples: DataFrame, provider: Rules | Recorded | Remote, out: str, checkpoint: str) -> StreamingQuery:
-    """Answer each micro-batch of ``questions(key, question)`` and append the logs under ``out``."""
+    """Answer each micro-batch of ``questions(key, question)`` and append the logs under ``out``. What all batches need
+    of the graph is computed once, before the first."""
+    graph = prepared(triples)
+
     def batch(rows: DataFrame, number: int) -> None:
-        write_logs(answer(rows, triples, provider), out, f"batch-{number}")
+        write_logs(answer(rows, triples, provider, graph=graph), out, f"batch-{number}")
 
     return questions.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
 
