@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import cut_counted, drop_cut
+from ..common import cut_observed, drop_cut
 
 
 def star_components(edges: DataFrame) -> DataFrame:
@@ -18,9 +18,11 @@ def star_components(edges: DataFrame) -> DataFrame:
     """
     e = edges.select("u", "v").dropna()
     nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
-    cur, n = cut_counted(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star")
+    # edges are distinct, so their number and two sums of hashes tell whether a round changed anything
+    mark = {"n": F.count(F.lit(1)), "a": F.bit_xor(F.xxhash64(F.lit(1), "u", "v")), "b": F.bit_xor(F.xxhash64(F.lit(2), "u", "v"))}
+    cur, seen = cut_observed(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star", **mark)
 
-    while n:
+    while seen["n"]:
         # large star: larger neighbours to the smallest of the neighbourhood
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -29,10 +31,10 @@ def star_components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        new, k = cut_counted(small.where("u <> v").distinct(), "star")
-        changed = k != n or bool(new.join(cur, ["u", "v"], "left_anti").head(1))
+        before = seen
+        new, seen = cut_observed(small.where("u <> v").distinct(), "star", **mark)
         drop_cut(cur)
-        cur, n = new, k
-        if not changed:
+        cur = new
+        if seen == before:
             break
     return nodes.join(cur.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
