@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import dealt, kb_queries, text_queries
+from . import dealt, kb_queries, source_queries, text_queries
 
-_PARTS = (dealt, kb_queries, text_queries)
+_PARTS = (dealt, kb_queries, text_queries, source_queries)
 
 
 def queries() -> dict:
