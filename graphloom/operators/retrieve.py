@@ -185,51 +185,71 @@ def applicable(t: DataFrame, entities: DataFrame, twins: DataFrame | None = None
     return out.unionByName(inc).distinct().join(dt, "uri").join(fits, ["type", "property"]).select("uri", "type", "direction", "property", "other", "dtype")
 
 
-def context(t: DataFrame, entities: DataFrame, scope: str = "entity", graph: Graph | None = None) -> DataFrame:
+def context(t: DataFrame, entities: DataFrame, scope: str = "entity", graph: Graph | None = None, fields: tuple[str, ...] | None = None) -> DataFrame:
     """One row per entity with the twelve fields of its context; decoded names, sorted. ``graph`` is ``prepared(t)`` if it is
-    at hand, as for a stream of questions on one graph.
+    at hand, as for a stream of questions on one graph. With ``fields`` only these are made, and only what they need is joined.
 
     ``properties_by_type`` maps a direct type to arrays of structs for outgoing object and data and incoming
     object properties.
     """
     e = entities.select("uri").distinct()
-    twins = twins_of(t, e, graph.same if graph else None)
-    about = cut(twins.join(t, F.col("twin") == F.col("s")).select("uri", "twin", "p", "o", "o_kind", "o_dtype"), "about")
+    want = lambda *names: fields is None or bool(set(names) & set(fields))
+    parts: list[DataFrame] = []
     name = readable(F.col("o"))
-    sup = graph.above if graph else cut(subclass_closure(t), "closure")
-    dt = cut((graph.direct if graph else direct_types(t, above=sup)).join(e, F.col("s") == F.col("uri")).select("uri", F.col("o").alias("type")), "direct-types")
-    types = dt.groupBy("uri").agg(F.array_sort(F.collect_set(readable(F.col("type")))).alias("types"))
-    above = dt.join(sup, F.col("type") == F.col("src")).groupBy("uri", readable(F.col("type")).alias("k")).agg(F.array_sort(F.collect_set(readable(F.col("dst")))).alias("v"))
+    none = F.array().cast("array<string>")
     is_class = t.where((F.col("p") == RDF_TYPE) & (F.col("o") == CLASS)).select(F.col("s").alias("uri")).distinct()
-    direct = t.where(F.col("p") == SUBCLASS).join(e.join(is_class, "uri", "left_semi"), F.col("s") == F.col("uri")).groupBy("uri", readable(F.col("uri")).alias("k")).agg(F.array_sort(F.collect_set(name)).alias("v"))
-    supers = above.join(direct.select("uri", "k"), ["uri", "k"], "left_anti").unionByName(direct).groupBy("uri").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("superclasses"))
-    simple = about.groupBy("uri").agg(
-        F.array_sort(F.collect_set(F.when(F.col("p") == EQUIVALENT, name))).alias("equivalent_classes"),
-        F.array_sort(F.collect_set(F.when(F.col("p") == EX + "chunk_id", F.col("o")))).alias("chunk_id"))
-    ann_props = t.where((F.col("p") == RDF_TYPE) & (F.col("o") == ANNOTATION_PROPERTY)).select(F.col("s").alias("p")).distinct()
-    ann = about.where(F.col("p").isin(LABEL, COMMENT)).unionByName(about.where(~F.col("p").isin(LABEL, COMMENT)).join(ann_props, "p", "left_semi").select(*about.columns))
-    ann = ann.groupBy("uri", readable(F.col("p")).alias("k")).agg(F.max_by("o", F.struct("twin", "o")).alias("v")).groupBy("uri").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("annotations"))
+    by_twins = want("equivalent_classes", "chunk_id", "annotations", "class_descriptions", "object_property_descriptions")
+    twins = twins_of(t, e, graph.same if graph else None) if by_twins or want("properties_by_type") else None
+    if by_twins:
+        about = cut(twins.join(t, F.col("twin") == F.col("s")).select("uri", "twin", "p", "o", "o_kind", "o_dtype"), "about")
+    if want("types", "superclasses", "properties_by_type"):
+        sup = graph.above if graph else cut(subclass_closure(t), "closure")
+        dt = cut((graph.direct if graph else direct_types(t, above=sup)).join(e, F.col("s") == F.col("uri")).select("uri", F.col("o").alias("type")), "direct-types")
+    if want("types"):
+        parts.append(dt.groupBy("uri").agg(F.array_sort(F.collect_set(readable(F.col("type")))).alias("types")))
+    if want("superclasses"):
+        above = dt.join(sup, F.col("type") == F.col("src")).groupBy("uri", readable(F.col("type")).alias("k")).agg(F.array_sort(F.collect_set(readable(F.col("dst")))).alias("v"))
+        direct = t.where(F.col("p") == SUBCLASS).join(e.join(is_class, "uri", "left_semi"), F.col("s") == F.col("uri")).groupBy("uri", readable(F.col("uri")).alias("k")).agg(F.array_sort(F.collect_set(name)).alias("v"))
+        supers = above.join(direct.select("uri", "k"), ["uri", "k"], "left_anti").unionByName(direct).groupBy("uri").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("superclasses"))
+        parts.append(supers)
+    if want("equivalent_classes", "chunk_id"):
+        simple = about.groupBy("uri").agg(
+            F.array_sort(F.collect_set(F.when(F.col("p") == EQUIVALENT, name))).alias("equivalent_classes"),
+            F.array_sort(F.collect_set(F.when(F.col("p") == EX + "chunk_id", F.col("o")))).alias("chunk_id"))
+        parts.append(simple)
+    if want("annotations"):
+        ann_props = t.where((F.col("p") == RDF_TYPE) & (F.col("o") == ANNOTATION_PROPERTY)).select(F.col("s").alias("p")).distinct()
+        ann = about.where(F.col("p").isin(LABEL, COMMENT)).unionByName(about.where(~F.col("p").isin(LABEL, COMMENT)).join(ann_props, "p", "left_semi").select(*about.columns))
+        ann = ann.groupBy("uri", readable(F.col("p")).alias("k")).agg(F.max_by("o", F.struct("twin", "o")).alias("v")).groupBy("uri").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("annotations"))
+        parts.append(ann)
     com = t.where(F.col("p") == COMMENT).groupBy(F.col("s").alias("x")).agg(F.min("o").alias("c"))
-    desc = about.where(F.col("p") == RDF_TYPE).select("uri", F.col("o").alias("x")).distinct().join(com, "x", "left").groupBy("uri").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct(readable(F.col("x")).alias("k"), F.col("c").alias("v"))))).alias("class_descriptions"))
-    obj = t.where((F.col("p") == RDF_TYPE) & (F.col("o") == OBJECT_PROPERTY)).select(F.col("s").alias("p")).distinct()
-    ends = lambda schema, c: t.where(F.col("p") == schema).groupBy(F.col("s").alias("p")).agg(F.array_sort(F.collect_set(name)).alias(c))
-    none = F.array().cast("array<string>")
-    pd_ = about.select("uri", "p").distinct().join(obj, "p", "left_semi").join(com.select(F.col("x").alias("p"), "c"), "p", "left").join(ends(DOMAIN, "dom"), "p", "left").join(ends(RANGE, "rng"), "p", "left")
-    pd_ = pd_.groupBy("uri").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct(readable(F.col("p")).alias("k"), F.struct(F.col("c").alias("description"), F.coalesce("dom", none).alias("domain"), F.coalesce("rng", none).alias("range")).alias("v"))))).alias("object_property_descriptions"))
-    app = applicable(t, e, twins, sup, dt)
-    side = lambda d, other: F.array_sort(F.collect_set(F.when(F.col("direction") == d, F.struct(readable(F.col("property")).alias("property"), other))))
-    props = app.groupBy("uri", readable(F.col("type")).alias("k")).agg(F.struct(
-        side("out_object", readable(F.col("other")).alias("object")).alias("outgoing_object_properties"),
-        F.array_sort(F.collect_set(F.when(F.col("direction") == "out_data", F.struct(readable(F.col("property")).alias("property"), F.col("other").alias("value"), F.col("dtype").alias("datatype"))))).alias("outgoing_data_properties"),
-        side("in_object", readable(F.col("other")).alias("subject")).alias("incoming_object_properties")).alias("v"))
-    props = props.groupBy("uri").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("properties_by_type"))
-    members = t.where(F.col("p") == RDF_TYPE).join(e.join(is_class, "uri", "left_semi"), F.col("o") == F.col("uri")).groupBy("uri").agg(F.array_sort(F.collect_set(readable(F.col("s")))).alias("members"))
+    if want("class_descriptions"):
+        desc = about.where(F.col("p") == RDF_TYPE).select("uri", F.col("o").alias("x")).distinct().join(com, "x", "left").groupBy("uri").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct(readable(F.col("x")).alias("k"), F.col("c").alias("v"))))).alias("class_descriptions"))
+        parts.append(desc)
+    if want("object_property_descriptions"):
+        obj = t.where((F.col("p") == RDF_TYPE) & (F.col("o") == OBJECT_PROPERTY)).select(F.col("s").alias("p")).distinct()
+        ends = lambda schema, c: t.where(F.col("p") == schema).groupBy(F.col("s").alias("p")).agg(F.array_sort(F.collect_set(name)).alias(c))
+        pd_ = about.select("uri", "p").distinct().join(obj, "p", "left_semi").join(com.select(F.col("x").alias("p"), "c"), "p", "left").join(ends(DOMAIN, "dom"), "p", "left").join(ends(RANGE, "rng"), "p", "left")
+        pd_ = pd_.groupBy("uri").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct(readable(F.col("p")).alias("k"), F.struct(F.col("c").alias("description"), F.coalesce("dom", none).alias("domain"), F.coalesce("rng", none).alias("range")).alias("v"))))).alias("object_property_descriptions"))
+        parts.append(pd_)
+    if want("properties_by_type"):
+        app = applicable(t, e, twins, sup, dt)
+        side = lambda d, other: F.array_sort(F.collect_set(F.when(F.col("direction") == d, F.struct(readable(F.col("property")).alias("property"), other))))
+        props = app.groupBy("uri", readable(F.col("type")).alias("k")).agg(F.struct(
+            side("out_object", readable(F.col("other")).alias("object")).alias("outgoing_object_properties"),
+            F.array_sort(F.collect_set(F.when(F.col("direction") == "out_data", F.struct(readable(F.col("property")).alias("property"), F.col("other").alias("value"), F.col("dtype").alias("datatype"))))).alias("outgoing_data_properties"),
+            side("in_object", readable(F.col("other")).alias("subject")).alias("incoming_object_properties")).alias("v"))
+        props = props.groupBy("uri").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("properties_by_type"))
+        parts.append(props)
+    if want("members"):
+        members = t.where(F.col("p") == RDF_TYPE).join(e.join(is_class, "uri", "left_semi"), F.col("o") == F.col("uri")).groupBy("uri").agg(F.array_sort(F.collect_set(readable(F.col("s")))).alias("members"))
+        parts.append(members)
     note = F.lit(f"All facts here are about the resolved {scope} of the question.")
     out = labels(t, e, "uri").withColumn("scope_note", note)
-    out = reduce(lambda a, b: a.join(b, "uri", "left"), [types, supers, simple, props, ann, desc, pd_, members], out)
-    for c in ("types", "equivalent_classes", "chunk_id", "members"):
+    out = reduce(lambda a, b: a.join(b, "uri", "left"), parts, out)
+    for c in {"types", "equivalent_classes", "chunk_id", "members"} & set(out.columns):
         out = out.withColumn(c, F.coalesce(c, none))
-    return out
+    return out if fields is None else out.select("uri", "label", "scope_note", *fields)
 
 
 def readable_values(x: Column, iris_only: bool = True) -> Column:
@@ -269,7 +289,11 @@ def readable_json(x: Column, iris_only: bool = True) -> Column:
     return run(x)
 
 
+#: The fields whose sizes ``context_counts`` gives.
+COUNTED = ("types", "superclasses", "equivalent_classes", "properties_by_type", "chunk_id", "members")
+
+
 def context_counts(ctx: DataFrame) -> DataFrame:
     """Sizes of the fields of each context."""
     n = lambda c: F.coalesce(F.size(c), F.lit(0)).alias(f"n_{c}")
-    return ctx.select("uri", "label", *[n(c) for c in ("types", "superclasses", "equivalent_classes", "properties_by_type", "chunk_id", "members")])
+    return ctx.select("uri", "label", *[n(c) for c in COUNTED])

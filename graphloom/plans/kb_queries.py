@@ -324,28 +324,28 @@ def context_properties(spark, d):
     return rt.applicable(t, cut(_nodes(t), "nodes")).select("uri", "type", "direction", "property", "other")
 
 
-def _contexts(spark, d):
+def _contexts(spark, d, *fields):
     t = _kept(spark, d)
-    return cut(rt.context(t, cut(_nodes(t), "nodes")), "contexts")
+    return rt.context(t, cut(_nodes(t), "nodes"), fields=fields)
 
 
 def context_provenance(spark, d):
-    return _contexts(spark, d).select("uri", F.array_join("chunk_id", "|").alias("chunk_ids"), F.array_join("types", "|").alias("types"))
+    return _contexts(spark, d, "chunk_id", "types").select("uri", F.array_join("chunk_id", "|").alias("chunk_ids"), F.array_join("types", "|").alias("types"))
 
 
 def context_class_descriptions(spark, d):
-    return _contexts(spark, d).select("uri", F.explode("class_descriptions").alias("class", "description"))
+    return _contexts(spark, d, "class_descriptions").select("uri", F.explode("class_descriptions").alias("class", "description"))
 
 
 def context_property_descriptions(spark, d):
-    c = _contexts(spark, d).select("uri", F.explode("object_property_descriptions").alias("property", "x"))
+    c = _contexts(spark, d, "object_property_descriptions").select("uri", F.explode("object_property_descriptions").alias("property", "x"))
     return c.select("uri", "property", "x.description", F.array_join("x.domain", "|").alias("domains"), F.array_join("x.range", "|").alias("ranges"))
 
 
 def context_members(spark, d):
     """Members of all classes."""
     t = _kept(spark, d)
-    ctx = rt.context(t, cut(_nodes(t, tr.CLASS), "nodes"))
+    ctx = rt.context(t, cut(_nodes(t, tr.CLASS), "nodes"), fields=("members", "superclasses"))
     return ctx.select("label", F.array_join("members", "|").alias("members"), F.array_join(F.coalesce(F.element_at("superclasses", F.col("label")), F.array()), "|").alias("direct"))
 
 
@@ -354,13 +354,13 @@ def context_by_question_type(spark, d):
     from ..operators.questions import CONTEXT_FIELDS, keep_fields
 
     types = spark.createDataFrame([(k,) for k in [*CONTEXT_FIELDS, "other"]], "question_type string")
-    c = keep_fields(_contexts(spark, d).join(F.broadcast(types)))  # nine rows
+    c = keep_fields(_contexts(spark, d, "members", "chunk_id").join(F.broadcast(types)))  # nine rows
     has = lambda f: F.coalesce(F.size(f) >= 0, F.lit(False)).alias(f)
     return c.select("uri", "question_type", "status", has("members"), F.col("chunk_id").isNotNull().alias("chunk_id"))
 
 
 def context_counts(spark, d):
-    return rt.context_counts(_contexts(spark, d))
+    return rt.context_counts(_contexts(spark, d, *rt.COUNTED))
 
 
 # ---------------------------------------------------------------- similarity

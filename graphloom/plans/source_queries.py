@@ -128,7 +128,7 @@ def kb_described(spark, d):
 
 def context_annotations(spark, d):
     """Annotations of all nodes; of several values that of the last twin holds."""
-    return kb._contexts(spark, d).select("uri", F.explode("annotations").alias("annotation", "value"))
+    return kb._contexts(spark, d, "annotations").select("uri", F.explode("annotations").alias("annotation", "value"))
 
 
 def entity_profiles(spark, d):
