@@ -26,3 +26,7 @@ def test_schema_types_are_not_shuffled(spark):
     assert sorted(map(tuple, domains.collect())) == [("v", "A"), ("v", "B"), ("w", "B"), ("w", "C"), ("x", "A"), ("x", "B")]
     assert sorted(map(tuple, ranges.collect())) == [("y", "D")]
     assert joins_last(domains) and joins_last(ranges)
+
+
+def test_property_descriptions_are_not_shuffled(spark):
+    assert joins_last(QUERIES["context_property_descriptions"](spark, SMALL))
