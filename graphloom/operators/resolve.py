@@ -89,12 +89,14 @@ def log_pruned(pruned: DataFrame | None, removed: DataFrame, phase: str) -> Data
 def surviving_groups(same: DataFrame, actions: DataFrame, sets: DataFrame) -> DataFrame:
     """SameIndividual groups without rejected members; groups left with one member go.
 
-    ``same(name_key, class, individuals)``.
+    ``same(name_key, class, individuals)``. A name that any class of a set rejects is rejected in all of them, so
+    rejections are kept once per name and set, under the set's first class.
     """
-    rows = expand_classes(same, sets).select("name_key", "class", "class_set", F.explode("individuals").alias("name"))
-    bad = actions.where("action = 'reject'").select("name", F.col("class").alias("bad")).distinct()
-    hit = rows.select("name_key", "class", "name", F.explode("class_set").alias("bad")).join(bad, ["name", "bad"], "left_semi").select("name_key", "class", "name").distinct()
-    kept = rows.join(hit, ["name_key", "class", "name"], "left_anti")
+    first = F.element_at("class_set", 1)
+    rejected = actions.where("action = 'reject'").select("name", "class").dropna()
+    bad = expand_classes(rejected, sets).select("name", first.alias("first")).distinct()
+    rows = expand_classes(same, sets).select("name_key", "class", first.alias("first"), F.explode("individuals").alias("name"))
+    kept = rows.join(bad, ["name", "first"], "left_anti")
     return kept.groupBy("name_key", "class").agg(F.array_sort(F.collect_set("name")).alias("individuals")).where("size(individuals) > 1")
 
 

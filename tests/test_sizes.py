@@ -30,3 +30,15 @@ def test_schema_types_are_not_shuffled(spark):
 
 def test_property_descriptions_are_not_shuffled(spark):
     assert joins_last(QUERIES["context_property_descriptions"](spark, SMALL))
+
+
+def test_rejections_once_per_set(spark):
+    """A set of n classes costs n rows per name, not n for each of n."""
+    n = 300
+    members = [f"C{i:03}" for i in range(n)]
+    sets = spark.createDataFrame([(c, members) for c in members], "class string, class_set array<string>")
+    same = spark.createDataFrame([("ab", c, ["a b", "a-b", "ab"]) for c in members] + [("x", "Lone", ["X", "x"])], "name_key string, class string, individuals array<string>")
+    actions = spark.createDataFrame([("a b", "C007", "reject"), ("ab", "C008", "merge"), ("x", "C001", "reject")], "name string, class string, action string")
+    out = rs.surviving_groups(same, actions, sets)
+    assert sorted(map(tuple, out.collect())) == [("ab", c, ["a-b", "ab"]) for c in members] + [("x", "Lone", ["X", "x"])]
+    assert plan_of(rs.surviving_groups(same, actions, sets)).count("Generate explode(class_set") == 0
