@@ -1,8 +1,14 @@
 """Results that grow with a product of two tables are made late: the larger rows are not shuffled."""
 
+import re
+from difflib import SequenceMatcher
+from unittest import mock
+
+import pandas as pd
 from oracle import SMALL
 
 from graphloom.operators import resolve as rs
+from graphloom.operators import retrieve as rt
 from graphloom.operators import triples as tr
 from graphloom.plans import catalogue
 
@@ -42,3 +48,20 @@ def test_rejections_once_per_set(spark):
     out = rs.surviving_groups(same, actions, sets)
     assert sorted(map(tuple, out.collect())) == [("ab", c, ["a-b", "ab"]) for c in members] + [("x", "Lone", ["X", "x"])]
     assert plan_of(rs.surviving_groups(same, actions, sets)).count("Generate explode(class_set") == 0
+
+
+def test_few_names_go_to_the_ratio(spark):
+    """Of names of one pattern only those that could be among the first are compared in full."""
+    key = [f"ward tag {i}" for i in range(1000, 6000)]
+    row = lambda c, x: {f"{c}{i}": x.count(a) for i, a in enumerate(rt.ALPHABET)} | {f"{c}39": sum(a not in rt.ALPHABET for a in x)}
+    names = pd.DataFrame([{"uri": k, "label": k, "lk": k, "fk": k, "ln": len(k), "fn": len(k), "cf": 0.8, "lt": ["ward"]} | row("l", k) for k in key])
+    asked = pd.DataFrame([{"entity": "ward tag 1234", "ek": "ward tag 1234", "en": 13, "et": ["ward", "tag"]} | row("e", "ward tag 1234")])
+    best = [{}]
+    with mock.patch.object(rt, "SequenceMatcher", wraps=SequenceMatcher) as made:
+        m = mock.Mock(wraps=SequenceMatcher(None))
+        made.return_value, made.side_effect = m, None
+        rt._best_of(names, asked, best, 10, 0.5)
+    score = {k: 1.0 if k == "ward tag 1234" else 0.45 * (r := SequenceMatcher(None, "ward tag 1234", k).ratio()) + 0.35 * r + 0.125 for k in key}
+    want = sorted(score, key=lambda k: (-round(score[k], 9), k))[:10]
+    assert sorted(best[0], key=lambda k: (-round(best[0][k][0], 9), k)) == want
+    assert m.ratio.call_count < 1500
