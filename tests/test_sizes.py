@@ -50,6 +50,30 @@ def test_rejections_once_per_set(spark):
     assert plan_of(rs.surviving_groups(same, actions, sets)).count("Generate explode(class_set") == 0
 
 
+def test_best_by_tokens_are_the_first_of_all(spark):
+    """The pairs of entities and names are scored by sets of tokens; equal names, several labels and ties included."""
+    words = ["Hall", "Lamp", "Ward", "Kit", "Clinic"]
+    rows = [(f"u{i:03}", f"{words[i % 5]} {words[i % 3]} {i % 7}", f"f {i}") for i in range(120)]
+    rows += [(f"u{i:03}", f"{words[(i + 1) % 5]}s", f"f {i}") for i in range(0, 120, 4)] + [("v1", "Lone", "Ward Hall 3"), ("v2", "12", "x")]
+    names = spark.createDataFrame(rows, "uri string, label string, fragment string")
+    entities = spark.createDataFrame([(x,) for x in ["Hall Lamp 3", "Ward Hall 3", "clinic", "f 12", "12", "kit kit", "none", None, "Lamps"]], "entity string")
+    tok = lambda x: {w for w in re.findall("[a-z]+", x)}
+    key = lambda x: re.sub("s$", "", x.lower().strip())
+    want = {}
+    for (e,) in (tuple(r) for r in entities.dropna().collect()):
+        for u, l, f in rows:
+            a, b = tok(key(e)), {w for w in tok(key(l)) if len(w) >= 4}
+            score = 1.0 if key(e) in (key(l), key(f)) else round(0.15 * len(a & b) / max(len(a), 1) + 0.05, 6) if a & b else None
+            if score is not None:
+                want[e, u] = max(want.get((e, u), (0, "")), (score, l))
+    got = {(r.entity, r.uri): (r.score, r.label) for r in rt.token_scores(entities, names).collect()}
+    assert got == want
+    assert rt.token_scores(entities, names).count() == len(want)
+    first = lambda e: sorted((-s, u, l) for (x, u), (s, l) in want.items() if x == e)[:3]
+    best = {(r.entity, r["rank"]): (-r.score, r.uri, r.label) for r in rt.best_by_tokens(entities, names).collect()}
+    assert best == {(e, k + 1): x for e in {e for e, _ in want} for k, x in enumerate(first(e))}
+
+
 def test_few_names_go_to_the_ratio(spark):
     """Of names of one pattern only those that could be among the first are compared in full."""
     key = [f"ward tag {i}" for i in range(1000, 6000)]
